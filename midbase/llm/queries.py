@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, neardup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op5_neardup": neardup.op5_neardup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op5_neardup": neardup.ORACLE}
