@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup
+from . import decontaminate, licenses, neardup, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": licenses.op1_licenses,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_neardup": neardup.op5_neardup,
+        "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE, "op5_neardup": neardup.ORACLE}
+    return {
+        "op1_licenses": licenses.ORACLE,
+        "op3_decontaminate": decontaminate.ORACLE,
+        "op5_neardup": neardup.ORACLE,
+    }
