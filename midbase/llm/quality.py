@@ -1,8 +1,8 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-Document evidence: two logistic models (low quality, toxic) over binned shape features of the whole text
-and the presence of those words whose share of the labelled positives is far from their share of the
-rest. They are fitted on at most `sample_rows` labelled documents, chosen by a hash of the id.
+Document evidence: two logistic models, low quality over binned shape features of the whole text and words,
+toxicity over words alone. Words enter by the presence of those words and word beginnings (4 and 6 characters: stems, in languages that inflect or
+compound) whose share of the labelled positives is far from their share of the rest. They are fitted on at most `sample_rows` labelled documents, chosen by a hash of the id.
 
 Site evidence: the documents' probabilities are summed by host and path (one grouped aggregation with
 partial sums, so a host that holds a third of all rows is no hot key). A path's rate is shrunk toward its
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -54,8 +55,26 @@ def shapes(raw: bytes, words: list[bytes], distinct: int) -> list[float]:
     ]
 
 
-def word_id(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) & ((1 << WORD_BITS) - 1)
+def word_ids(word: bytes) -> tuple[int, ...]:
+    """Feature numbers of the word and of its beginnings."""
+    text = word.decode()
+    forms = [word, *(b"^" + text[:k].encode() for k in (4, 6) if len(text) > k)]
+    return tuple(xxhash.xxh3_64_intdigest(f) & ((1 << WORD_BITS) - 1) for f in forms)
+
+
+class _Ids(dict):
+    """Word to those of its feature numbers that are in `chosen` (all, if None); emptied when it has grown large."""
+
+    def __init__(self, chosen: set[int] | None = None):
+        super().__init__()
+        self.chosen = chosen
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) > 300_000:
+            self.clear()
+        own = word_ids(word)
+        value = self[word] = own if self.chosen is None else tuple(i for i in own if i in self.chosen)
+        return value
 
 
 @dataclass
@@ -73,6 +92,9 @@ class Evidence:
     low: Logistic
     toxic: Logistic
 
+    def __post_init__(self) -> None:
+        self.known = _Ids({*self.low.words, *self.toxic.words})
+
     def score(self, text: str | None) -> tuple[float, float]:
         """Probabilities of low quality and of toxicity."""
         raw = (text or "").encode()
@@ -81,41 +103,31 @@ class Evidence:
             return 1.0, 0.0
         distinct = set(words)
         place = [int(np.searchsorted(e, x)) for e, x in zip(self.edges, shapes(raw, words, len(distinct)))]
+        present = set(chain.from_iterable(map(self.known.__getitem__, distinct)))
         out = []
         for model in (self.low, self.toxic):
             z = model.bias + sum(model.bins[i, p] for i, p in enumerate(place) if model.bins.shape[1] > 1)
-            if model.words:
-                z += sum(model.words[i] for i in model.words.keys() & set(map(_cached_id.__getitem__, distinct)))
+            z += sum(model.words.get(i, 0.0) for i in present)
             out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
         return out[0], out[1]
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = word_id(word)
-        return value
-
-
-_cached_id = _Ids()
-
-
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids = _Ids()
     for batch in batches:
         rows = []
         for text in batch.column("text"):
             raw = (text.as_py() or "").encode()
             words = raw.translate(common.FOLD).split()
             distinct = set(words)
-            rows.append((shapes(raw, words, len(distinct)), sorted(set(map(_cached_id.__getitem__, distinct)))))
+            rows.append((shapes(raw, words, len(distinct)), sorted(set(chain.from_iterable(map(ids.__getitem__, distinct))))))
         yield pa.RecordBatch.from_arrays(
             [batch.column("low"), batch.column("toxic"), pa.array([s for s, _ in rows], pa.list_(pa.float64())), pa.array([w for _, w in rows], pa.list_(pa.int32()))],
             names=["low", "toxic", "shape", "words"],
         )
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 25) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05, steps: int = 40) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the first column, the bias, is free."""
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], l2)
@@ -129,7 +141,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 25) ->
     return w
 
 
-def _fit_one(y: np.ndarray, places: np.ndarray, n_bins: int, words: list[np.ndarray]) -> Logistic:
+def _fit_one(y: np.ndarray, places: np.ndarray, n_bins: int, words: list[np.ndarray], shaped: bool) -> Logistic:
     if not len(y) or y.all() or not y.any():
         rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
         return Logistic(bias=float(np.log(rate / (1 - rate))))
@@ -140,7 +152,7 @@ def _fit_one(y: np.ndarray, places: np.ndarray, n_bins: int, words: list[np.ndar
     z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     chosen = np.argsort(-np.abs(z))[:MOST_WORDS]
     chosen = np.sort(chosen[np.abs(z[chosen]) > MIN_Z])
-    hot = (places[:, :, None] == np.arange(n_bins)).reshape(len(y), -1)
+    hot = (places[:, :, None] == np.arange(n_bins)).reshape(len(y), -1) * float(shaped)
     own = np.zeros((len(y), len(chosen)))
     for i, w in enumerate(words):
         own[i, np.searchsorted(chosen, np.intersect1d(chosen, w))] = 1
@@ -166,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
     places = np.stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(edges)], axis=1)
     n_bins = max(len(e) for e in edges) + 1
     words = [np.asarray(w) for w in got["words"]]
-    fitted = [_fit_one(got[c].to_numpy().astype(float), places, n_bins, words) for c in ("low", "toxic")]
+    fitted = [_fit_one(got[c].to_numpy().astype(float), places, n_bins, words, c == "low") for c in ("low", "toxic")]
     return Evidence(edges, *fitted)
 
 
