@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, neardup, packing, quality, secrets
+from . import decontaminate, licenses, linededup, neardup, packing, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_neardup": neardup.op5_neardup,
         "op6_secrets": secrets.op6_secrets,
+        "op7_linededup": linededup.op7_linededup,
         "op8_quality": quality.op8_quality,
         "op10_packing": packing.op10_packing,
     }
