@@ -37,12 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by clear_staged."""
+    path = f"{shared_dir(spark)}/midbase/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
 def staged(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/midbase/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, linededup, neardup, packing, quality, secrets
+from . import archive, decontaminate, licenses, linededup, neardup, packing, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secrets": secrets.op6_secrets,
         "op7_linededup": linededup.op7_linededup,
         "op8_quality": quality.op8_quality,
+        "op9_warc": archive.op9_warc,
         "op10_packing": packing.op10_packing,
     }
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_licenses": licenses.ORACLE,
         "op3_decontaminate": decontaminate.ORACLE,
         "op5_neardup": neardup.ORACLE,
+        "op9_warc": archive.ORACLE,
     }
