@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, decontaminate, licenses, linededup, neardup, packing, quality, secrets
+from . import archive, decontaminate, licenses, linededup, neardup, packing, quality, secrets, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": licenses.op1_licenses,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_urlfilter": urlfilter.op4_urlfilter,
         "op5_neardup": neardup.op5_neardup,
         "op6_secrets": secrets.op6_secrets,
         "op7_linededup": linededup.op7_linededup,
@@ -26,6 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_licenses": licenses.ORACLE,
         "op3_decontaminate": decontaminate.ORACLE,
+        "op4_urlfilter": urlfilter.ORACLE,
         "op5_neardup": neardup.ORACLE,
         "op9_warc": archive.ORACLE,
     }
