@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, decontaminate, licenses, linededup, neardup, packing, quality, secrets, urlfilter
+from . import ann, archive, decontaminate, licenses, linededup, neardup, packing, quality, secrets, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": licenses.op1_licenses,
+        "op2_ann": ann.op2_ann,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_urlfilter": urlfilter.op4_urlfilter,
         "op5_neardup": neardup.op5_neardup,
