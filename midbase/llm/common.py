@@ -37,10 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted by clear_staged."""
+def shared_path(spark: SparkSession, name: str, temporary: bool = True) -> str:
+    """A new path in the shared folder; temporary ones are deleted by clear_staged."""
     path = f"{shared_dir(spark)}/midbase/{name}-{uuid.uuid4().hex}"
-    _staged.append(path)
+    if temporary:
+        _staged.append(path)
     return path
 
 

@@ -18,8 +18,10 @@ import hashlib
 import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,6 +153,22 @@ def _digest(items: Iterable[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+def _flagger(compiled: object, min_items: int):
+    def flag(texts: pd.Series) -> pd.Series:
+        c: Compiled = compiled.value  # type: ignore[attr-defined]
+        out: list[bool] = []
+        begin = chars = 0
+        for i, text in enumerate(texts):
+            if i > begin and chars > 4_000_000:
+                out += [len(items) >= min_items for _, _, items in hits(list(texts[begin:i]), c)]
+                begin, chars = i, 0
+            chars += len(text or "")
+        out += [len(items) >= min_items for _, _, items in hits(list(texts[begin:]), c)]
+        return pd.Series(out, dtype=bool)
+
+    return flag
+
+
 def _scanner(compiled: object, id_col: str, text_col: str, whole: bool) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Compiled = compiled.value  # type: ignore[attr-defined]
@@ -174,6 +192,20 @@ def _scanner(compiled: object, id_col: str, text_col: str, whole: bool) -> Calla
     return scan
 
 
+def sliced(benchmark: DataFrame, window: int, slice_chars: int) -> list[Callable[[], object]]:
+    """For each slice of the benchmark what compiles and broadcasts it; a slice has about slice_chars characters."""
+    spark = benchmark.sparkSession
+    bench = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
+    chars = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, math.ceil(chars / slice_chars))
+
+    def compiled(k: int) -> object:
+        own = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else bench
+        return spark.sparkContext.broadcast(compile_patterns(((r[0], r[1]) for r in own.toLocalIterator()), window))
+
+    return [partial(compiled, k) for k in range(n)]
+
+
 def scan_benchmark(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -184,27 +216,19 @@ def scan_benchmark(
     slice_chars: int = 16_000_000,
 ) -> DataFrame:
     """One row per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
-    bench = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
-    chars = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    slices = max(1, math.ceil(chars / slice_chars))
+    slices = sliced(benchmark, window, slice_chars)
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def compiled(k: int) -> object:
-        own = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k) if slices > 1 else bench
-        return spark.sparkContext.broadcast(compile_patterns(((r[0], r[1]) for r in own.toLocalIterator()), window))
-
-    if slices == 1:
+    if len(slices) == 1:
         out = docs.select(id_col, text_col).mapInArrow(
-            _scanner(compiled(0), id_col, text_col, True),
+            _scanner(slices[0](), id_col, text_col, True),
             f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string",
         )
         return out.withColumn("contaminated", F.col("n_items") >= min_items)
     keyed = common.row_keyed(docs.select(id_col, text_col), id_col)
     found = None
-    for k in range(slices):
+    for compiled in slices:
         one = keyed.select("__key", text_col).mapInArrow(
-            _scanner(compiled(k), "__key", text_col, False),
+            _scanner(compiled(), "__key", text_col, False),
             "__key long, n_words long, ranges array<array<long>>, items array<string>",
         )
         found = one if found is None else found.unionByName(one)
@@ -228,6 +252,21 @@ def scan_benchmark(
     )
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_items: int = 2, window: int = WINDOW, slice_chars: int = 16_000_000
+) -> DataFrame:
+    """The rows of docs that hold windows of fewer than min_items items. Over one slice the texts are judged in
+    place; over more, a document's items are counted over all slices and contaminated rows are joined away."""
+    slices = sliced(benchmark, window, slice_chars)
+    if len(slices) == 1:
+        flagged = F.pandas_udf(_flagger(slices[0](), min_items), "boolean")
+        return docs.filter(~flagged(F.col(text_col)))
+    keyed = common.staged(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = scan_benchmark(keyed, benchmark, "__row", text_col, min_items, window, slice_chars)
+    gone = common.staged(found.filter("contaminated").select("__row"), "contaminated")
+    return common.join_sized(keyed, gone, ["__row"], "left_anti").drop("__row")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_benchmark(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
