@@ -1,138 +1,143 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
-
-A line ends at a newline and after a word whose last character is not one of most small letters (so after
-sentence ends, and after words in d, n, r, s, t or a capital): stored, newline-ended lines alone would miss
-passages that begin or end inside them, while these lines are the same wherever a passage stands. They are about two
-words long. Every GRAM consecutive lines are hashed; of each WINDOW consecutive hashes the smallest is a
-fingerprint, so two texts that share GRAM + WINDOW - 1 lines in a row share a fingerprint there. Fingerprints
-are joined to the first place that has them; each match gives a diagonal of two texts, on which the lines
-themselves are compared both ways. Runs of at least `least` equal lines are deleted from the later text; the
-earlier one (smaller id, then smaller position) keeps them.
-
-Every deleted run is a verified copy of an earlier one. Grouping is by partial sums, and the join to the
-first places has one row per fingerprint on one side, so frequent lines are no hot keys. Lines are compared
-within NEAR lines around the matches of a diagonal; where a run reaches that border, over the whole diagonal. A run
-barely longer than `least` can escape if each of its fingerprints occurred first in another, shorter repeat
-(73 of 366,614 repeated lines on 10,000 documents); longer runs have several fingerprints.
-
-Cases: a null text stays null and has no lines; texts of fewer lines than a gram are left alone;
-of rows that repeat id and text the first in row order is kept whole; ids may be null or repeat (rows then
-count in (id, row) order); further columns are kept.
+"""Line dedup by winnowing, in DataFrame functions only.
+
+A line is any LINE consecutive words of a text (a rolling line): repeated passages start and end inside
+the stored, newline-ended lines, whose own hashes would miss them. Of each WINDOW consecutive line hashes the
+smallest is a fingerprint, so two texts that share LINE + WINDOW - 1 words in a row share a fingerprint there.
+Fingerprints are joined to the first place that has them; each match gives a diagonal of two texts. Since
+fingerprints of a shared run are at most WINDOW <= LINE words apart, the matched lines of a diagonal overlap
+and join to runs without a look at the texts. Runs are then extended both ways word by word, over up to REACH
+words at each end. Stretches of at least `least` words that such runs make up, each run a copy of some earlier
+place, are deleted from the later text; the earlier place (smaller id, then smaller position) keeps them. Words
+are compared as they stand; white space may differ.
+
+Every deleted run is a copy of an earlier one. Grouping is by partial sums, and the join to the first places has
+one row per fingerprint on one side, so frequent lines are no hot keys. Of the texts, only the earlier ones of
+matches are looked up for their words around runs, and all of them once for the cut.
+
+Cases: a null text stays null and has no words; texts shorter than a line are left alone; of rows that repeat
+id and text the first in row order is kept whole; ids may be null or repeat (rows then count in (id, row)
+order); further columns are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-GRAM, WINDOW = 4, 8
-LEAST = GRAM + WINDOW - 1
-NEAR = 64
-#: Between two lines: white space after any character but these letters, or with a newline.
-BREAK = r"(?<=[^abce-mopqu-z\s])\s+|\n\s*"
-_PLACE = (1 << 29) - 1  # line positions of a text fit into 29 bits
-
-
-def _lines(text: Column) -> Column:
-    return F.split(text, BREAK)
+LINE = WINDOW = 24  # words a line, lines a window; multiples of 4
+LEAST = LINE + WINDOW - 1
+REACH = 48
+_PLACE = (1 << 29) - 1  # word positions of a text fit into 29 bits
 
 
-def _next(a: Column, by: int, f: Callable[[Column, Column], Column]) -> Column:
-    """f of each element and the one `by` further on (null past the end)."""
-    return F.zip_with(a, F.slice(a, by + 1, F.size(a)), f)
+def _words(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, r"^\s+", ""), r"\s+")
 
 
-def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(fp, __key, pos): the window minima of docs' (__key, text). Each step is a projection of its own, so that
-    no array is made anew for each of its elements."""
-    if gram & (gram - 1) or window & (window - 1):
-        raise ValueError("gram and window must be powers of two")
-    rows = docs.select("__key", F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    rows = rows.filter(F.size("h") >= gram).select("__key", "h", F.size("h").alias("n"))
-    by = 1
-    while by < gram:
-        rows = rows.select("__key", "n", _next(F.col("h"), by, lambda x, y: F.xxhash64(x, y)).alias("h"))
-        by *= 2
-    rows = rows.select("__key", F.slice("h", 1, F.col("n") - gram + 1).alias("h"))
-    # hash above, position below: a minimum carries its place, and of equal hashes the first is taken
-    placed = F.transform("h", lambda x, i: x.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))
-    rows = rows.select("__key", "h", placed.alias("m"))
-    by = 1
-    while by < window:
-        rows = rows.select("__key", "h", _next(F.col("m"), by, lambda x, y: F.least(x, y)).alias("m"))
-        by *= 2
-    rows = rows.select("__key", "h", F.explode(F.array_distinct("m")).alias("m"))
-    rows = rows.select("__key", "h", F.col("m").bitwiseAND(F.lit(_PLACE)).cast("int").alias("pos"))
-    return rows.select(F.get("h", F.col("pos")).alias("fp"), "__key", "pos")
-
+def fingerprints(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
+    """(fp, __key, pos): the window minima of docs' (__key, text).
 
-def _uneven(low: Column, high: Column) -> Column:
-    """Places in [low, high) at which the later text differs from the earlier one on diagonal d."""
-    places = F.filter(F.sequence(low, high - 1), lambda i: F.get("w", i) != F.get("s", i - F.col("d")))
-    return F.when(high > low, places).otherwise(F.array().cast("array<int>"))
-
-
-def runs(rows: DataFrame, least: int) -> DataFrame:
-    """(later, run): [start, end) of the runs of at least `least` lines with w[i] = s[i - d].
-
-    rows: later, d, first and last (matched places on the diagonal), w, s.
+    Lines and windows are put together from fours, so each word is visited a few times only. Each step is a
+    projection of its own: an array made inside a lambda would be made anew for each element.
     """
-    rows = rows.withColumns({"low": F.greatest(F.lit(0), "d"), "high": F.least(F.size("w"), F.size("s") + F.col("d"))})
-    rows = rows.withColumns({"a": F.greatest("low", F.col("first") - NEAR), "b": F.least("high", F.col("last") + NEAR)})
-    rows = rows.withColumn("u", _uneven(F.col("a"), F.col("b")))
-    reaches = ((F.col("a") > F.col("low")) & (F.coalesce(F.get("u", F.lit(0)), F.col("b")) > F.col("a"))) | (
-        (F.col("b") < F.col("high")) & (F.coalesce(F.get("u", F.size("u") - 1), F.col("a") - 1) < F.col("b") - 1)
-    )
-    rows = rows.withColumn("far", reaches)
-    rows = rows.withColumn("u", F.when(F.col("far"), _uneven(F.col("low"), F.col("high"))).otherwise(F.col("u")))
-    border = F.concat(F.array(F.when(F.col("far"), F.col("low")).otherwise(F.col("a")) - 1), "u", F.array(F.when(F.col("far"), F.col("high")).otherwise(F.col("b"))))
-    rows = rows.select("later", border.alias("x"))
-    pairs = F.zip_with("x", F.slice("x", 2, F.size("x")), lambda a, b: F.struct((a + 1).alias("start"), b.alias("end")))
-    return rows.select("later", F.explode(pairs).alias("run")).filter(F.col("run.end") - F.col("run.start") >= least)
+    if line % 4 or window % 4 or not 4 <= window <= line:
+        raise ValueError("line and window must be multiples of four, window at most line")
+    ahead = lambda a, i, steps: [F.get(a, i + j) for j in steps]
+    rows = docs.select("__key", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    rows = rows.select("__key", F.transform("h", lambda x, i: F.xxhash64(x, *ahead("h", i, (1, 2, 3)))).alias("g"))
+    # hash above, position below: a minimum carries its place, and of equal hashes the first is taken
+    lines = F.slice("g", 1, F.greatest(F.size("g") - line + 1, F.lit(0)))
+    placed = F.transform(lines, lambda x, i: F.xxhash64(x, *ahead("g", i, range(4, line, 4))).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))
+    rows = rows.select("__key", "g", placed.alias("m"))
+    rows = rows.select("__key", "g", F.transform("m", lambda x, i: F.least(x, *ahead("m", i, (1, 2, 3)))).alias("m"))
+    rows = rows.select("__key", "g", F.transform("m", lambda x, i: F.least(x, *ahead("m", i, range(4, window, 4)))).alias("m"))
+    rows = rows.select("__key", "g", F.explode(F.array_distinct("m")).alias("m"))
+    rows = rows.select("__key", "g", F.col("m").bitwiseAND(F.lit(_PLACE)).cast("int").alias("pos"))
+    return rows.select(F.xxhash64(*ahead("g", F.col("pos"), range(0, line, 4))).alias("fp"), "__key", "pos")
+
+
+def _joined(places: Column, line: int) -> Column:
+    """[start, end) of the runs that sorted places of overlapping or touching lines make."""
+    gaps = F.filter(F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda g: g.b - g.a > line)
+    starts = F.concat(F.slice(places, 1, 1), F.transform(gaps, lambda g: g.b))
+    ends = F.concat(F.transform(gaps, lambda g: g.a + line), F.array(F.element_at(places, -1) + line))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+
+def _agreeing(context: Column, word_at: Column, step: int) -> Column:
+    """How many words of the context, from the run outward, equal the text's words from word_at on."""
+    state = F.aggregate(
+        context, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
+        lambda s, c: F.struct(
+            F.when(s.on & (F.get("__w", word_at + s.n * step) == c), s.n + 1).otherwise(s.n).alias("n"),
+            F.coalesce(s.on & (F.get("__w", word_at + s.n * step) == c), F.lit(False)).alias("on"),
+        ),
+    )
+    return state.n
+
+
+def _merged(runs: Column) -> Column:
+    """Sorted runs with those that overlap or touch made one."""
+
+    def put(acc: Column, r: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last.start.alias("start"), F.greatest(last.end, r.end).alias("end"))
+        return F.when(r.start <= last.end, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(r)))
+
+    return F.aggregate(runs, F.array().cast("array<struct<start:int,end:int>>"), put)
+
+
+def repeats(own: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
+    """(__key, runs): for texts (__key, text) the runs that an earlier place has too, each with up to REACH words of
+    that place before (nearest first) and after it."""
+    found = common.staged(fingerprints(own, line, window), "fingerprints")
+    first = found.groupBy("fp").agg(F.min(F.struct("__key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = first.select("fp", F.col("first.__key").alias("src"), F.col("first.pos").alias("at"))
+    met = found.join(first.hint("merge"), "fp").filter("__key <> src or pos <> at")
+    met = met.groupBy(F.col("__key").alias("later"), "src", (F.col("pos") - F.col("at")).alias("d")).agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    met = met.select("later", "src", "d", _joined(F.col("places"), line).alias("runs"))
+    met = common.staged(met.groupBy("later", "src").agg(F.collect_list(F.struct("d", "runs")).alias("ds")), "met")
+    earlier = common.staged(met.select(F.col("src").alias("__key")).distinct(), "earlier")
+    texts = common.join_sized(own, earlier, ["__key"], "left_semi").select(F.col("__key").alias("src"), "text")
+    rows = met.join(texts.hint("merge"), "src").select("later", "ds", _words(F.col("text")).alias("s"))
+    rows = rows.select("later", "s", F.explode("ds").alias("m")).select("later", "s", "m.d", F.explode("m.runs").alias("r"))
+    low = F.greatest(F.col("r.start") - F.col("d") - REACH, F.lit(0))
+    before = F.reverse(F.slice("s", low + 1, F.greatest(F.col("r.start") - F.col("d") - low, F.lit(0))))
+    after = F.slice("s", F.col("r.end") - F.col("d") + 1, F.lit(REACH))
+    rows = rows.select("later", F.struct("r.start", "r.end", before.alias("before"), after.alias("after")).alias("run"))
+    return rows.groupBy(F.col("later").alias("__key")).agg(F.collect_list("run").alias("runs"))
 
 
 def cut_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, least: int = LEAST
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line: int = LINE, window: int = WINDOW, least: int = LEAST
 ) -> DataFrame:
-    """docs with later repeated runs deleted from the text, plus __lines and __removed (counts of lines)."""
+    """docs with later repeated runs deleted from the text, plus __words and __removed (counts of words)."""
     keyed = common.row_keyed(docs, id_col)
-    own = keyed.select("__key", F.col(text_col).alias("text"))
-    found = common.staged(fingerprints(own, gram, window), "fingerprints")
-    first = found.groupBy("fp").agg(F.min(F.struct("__key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = first.select("fp", F.col("first.__key").alias("src"), F.col("first.pos").alias("at"))
-    met = found.join(first.hint("merge"), "fp").filter("__key <> src or pos <> at")
-    met = met.groupBy(F.col("__key").alias("later"), "src", (F.col("pos") - F.col("at")).alias("d")).agg(
-        F.min("pos").alias("first"), (F.max("pos") + gram).alias("last")
-    )
-    met = met.groupBy("later", "src").agg(F.collect_list(F.struct("d", "first", "last")).alias("ds"))
-    met = common.staged(met, "met")
-
-    left, right = own.alias("left"), own.alias("right")
-    pairs = met.hint("merge").join(right, F.col("src") == F.col("right.__key")).select("later", "ds", F.col("right.text").alias("source"))
-    both = pairs.hint("merge").join(left, F.col("later") == F.col("left.__key"))
-    both = both.select("later", "ds", _lines(F.col("source")).alias("s"), _lines(F.col("left.text")).alias("w"))
-    each = both.select("later", "w", "s", F.explode("ds").alias("m")).select("later", "w", "s", "m.d", "m.first", "m.last")
-    cut = runs(each, least).groupBy("later").agg(F.sort_array(F.collect_set("run")).alias("__runs"))
-    cut = common.staged(cut.withColumnRenamed("later", "__key"), "runs")
-
-    rows = common.join_sized(keyed, cut, ["__key"], "left", 50_000)
-    rows = rows.withColumn("__w", _lines(F.col(text_col)))
-    parts = F.when(F.col("__runs").isNotNull(), F.zip_with("__w", F.regexp_extract_all(text_col, F.lit(BREAK), 0), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))))
-    rows = rows.withColumn("__parts", parts)
-    gone = lambda i: F.exists("__runs", lambda r: (i >= r.start) & (i < r.end))
+    runs = common.staged(repeats(keyed.select("__key", F.col(text_col).alias("text")), line, window).withColumnRenamed("runs", "__runs"), "runs")
+    rows = common.join_sized(keyed, runs, ["__key"], "left", 1_000)
+    rows = rows.withColumn("__w", _words(F.col(text_col)))
+    grown = F.transform("__runs", lambda r: F.struct(
+        (r.start - _agreeing(r.before, r.start - 1, -1)).alias("start"), (r.end + _agreeing(r.after, r.end, 1)).alias("end"),
+    ))
+    rows = rows.withColumn("__cut", F.array_sort(grown))
+    rows = rows.withColumn("__cut", F.filter(_merged(F.col("__cut")), lambda r: r.end - r.start >= least))
+    # words with the white space after them, in step with __w
+    spaced = F.split(F.regexp_replace(text_col, r"^\s+", ""), r"(?<=\s)(?=\S)")
+    rows = rows.withColumn("__parts", F.when(F.size("__cut") > 0, spaced))
+    gone = lambda i: F.exists("__cut", lambda r: (i >= r.start) & (i < r.end))
     rows = rows.withColumn("__kept", F.filter("__parts", lambda x, i: ~gone(i)))
-    text = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", ""))
+    text = F.when(F.col("__parts").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", ""))
+    # a text that ends in white space has an empty last word; one without words a single empty one
+    count = F.size("__w") - F.when(F.element_at("__w", -1) == "", 1).otherwise(0)
     return rows.select(
         *(text.alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.coalesce(F.size("__w"), F.lit(0)).cast("long").alias("__lines"),
-        F.when(F.col("__runs").isNull(), F.lit(0)).otherwise(F.size("__w") - F.size("__kept")).cast("long").alias("__removed"),
+        F.coalesce(count, F.lit(0)).cast("long").alias("__words"),
+        F.coalesce(F.size("__parts") - F.size("__kept"), F.lit(0)).cast("long").alias("__removed"),
     )
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = cut_repeats(common.table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), "text")
+    return cut.select("doc_id", F.col("__words").alias("n_words"), F.col("__removed").alias("n_removed"), "text")
