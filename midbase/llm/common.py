@@ -70,9 +70,8 @@ def row_keyed(docs: DataFrame, id_col: str, key: str = "__key") -> DataFrame:
     ids = docs.groupBy(F.col(id_col).cast("long").alias(key)).agg(F.count(F.lit(1)).alias("n"))
     if ids.filter((F.col("n") > 1) | F.col(key).isNull()).limit(1).count() == 0:
         return docs.withColumn(key, F.col(id_col).cast("long"))
-    numbered = docs.repartitionByRange(F.col(id_col).cast("long").asc_nulls_last(), F.hash(*docs.columns)).withColumn(
-        key, F.monotonically_increasing_id()
-    )
+    order = [F.col(id_col).cast("long").asc_nulls_last(), F.hash(*docs.columns).asc()]
+    numbered = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id())
     return staged(numbered, "keyed")
 
 

@@ -28,34 +28,42 @@ from . import common
 
 LINE = WINDOW = 24  # words a line, lines a window; multiples of 4
 LEAST = LINE + WINDOW - 1
-REACH = 48
+REACH = WINDOW  # a shared run's first and last fingerprints are nearer to its ends than that
 _PLACE = (1 << 29) - 1  # word positions of a text fit into 29 bits
 
 
+#: White space of the regular expressions below.
+_BLANK = " \t\n\x0b\f\r"
+
+
 def _words(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"^\s+", ""), r"\s+")
+    return F.split(F.ltrim(text, F.lit(_BLANK)), r"\s+")
 
 
 def fingerprints(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
-    """(fp, __key, pos): the window minima of docs' (__key, text).
+    """(fp, __key, pos): the lines at the window minima of docs' (__key, text).
 
-    Lines and windows are put together from fours, so each word is visited a few times only. Each step is a
-    projection of its own: an array made inside a lambda would be made anew for each element.
+    Lines are ordered by the hash of their first four words, which is as good an order as any. Lambdas over arrays are
+    slow, so only the hashes and the minima of four lines are made by them; minima of whole windows are taken in
+    generated code, one row a window, and rows whose minimum is that of the window before go at once. Arrays that a
+    lambda reads are columns of an earlier projection: made inside it they would be made for each element.
     """
     if line % 4 or window % 4 or not 4 <= window <= line:
         raise ValueError("line and window must be multiples of four, window at most line")
     ahead = lambda a, i, steps: [F.get(a, i + j) for j in steps]
     rows = docs.select("__key", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    rows = rows.select("__key", F.transform("h", lambda x, i: F.xxhash64(x, *ahead("h", i, (1, 2, 3)))).alias("g"))
     # hash above, position below: a minimum carries its place, and of equal hashes the first is taken
-    lines = F.slice("g", 1, F.greatest(F.size("g") - line + 1, F.lit(0)))
-    placed = F.transform(lines, lambda x, i: F.xxhash64(x, *ahead("g", i, range(4, line, 4))).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))
-    rows = rows.select("__key", "g", placed.alias("m"))
-    rows = rows.select("__key", "g", F.transform("m", lambda x, i: F.least(x, *ahead("m", i, (1, 2, 3)))).alias("m"))
-    rows = rows.select("__key", "g", F.transform("m", lambda x, i: F.least(x, *ahead("m", i, range(4, window, 4)))).alias("m"))
-    rows = rows.select("__key", "g", F.explode(F.array_distinct("m")).alias("m"))
-    rows = rows.select("__key", "g", F.col("m").bitwiseAND(F.lit(_PLACE)).cast("int").alias("pos"))
-    return rows.select(F.xxhash64(*ahead("g", F.col("pos"), range(0, line, 4))).alias("fp"), "__key", "pos")
+    order = F.transform("h", lambda x, i: F.xxhash64(x, *ahead("h", i, (1, 2, 3))).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))
+    rows = rows.select("__key", "h", F.slice(order, 1, F.greatest(F.size("h") - line + 1, F.lit(0))).alias("m"))
+    rows = rows.select("__key", "h", F.size("m").alias("n"), F.transform("m", lambda x, i: F.least(x, *ahead("m", i, (1, 2, 3)))).alias("m"))
+    windows = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0))))
+    rows = rows.select("__key", "h", "m", F.explode(windows).alias("i"))
+    least = lambda i: F.least(*ahead("m", i, range(0, window, 4)))
+    # one least() of four reaches four lines on, so the last starts four before the window's end
+    rows = rows.select("__key", "h", "i", least(F.col("i")).alias("now"), F.when(F.col("i") > 0, least(F.col("i") - 1)).alias("last"))
+    rows = rows.filter((F.col("i") == 0) | (F.col("now") != F.col("last")))
+    rows = rows.select("__key", "h", F.col("now").bitwiseAND(F.lit(_PLACE)).cast("int").alias("pos"))
+    return rows.select(F.xxhash64(*ahead("h", F.col("pos"), range(line))).alias("fp"), "__key", "pos")
 
 
 def _joined(places: Column, line: int) -> Column:
@@ -67,15 +75,11 @@ def _joined(places: Column, line: int) -> Column:
 
 
 def _agreeing(context: Column, word_at: Column, step: int) -> Column:
-    """How many words of the context, from the run outward, equal the text's words from word_at on."""
-    state = F.aggregate(
-        context, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
-        lambda s, c: F.struct(
-            F.when(s.on & (F.get("__w", word_at + s.n * step) == c), s.n + 1).otherwise(s.n).alias("n"),
-            F.coalesce(s.on & (F.get("__w", word_at + s.n * step) == c), F.lit(False)).alias("on"),
-        ),
-    )
-    return state.n
+    """How many words of the context (hashes, from the run outward) equal the text's words from word_at on; once a
+    word differs the count is turned negative and left alone."""
+    same = lambda n, c: F.xxhash64(F.get("__w", word_at + n * step)) == c
+    end = F.aggregate(context, F.lit(0), lambda n, c: F.when(n < 0, n).when(same(n, c), n + 1).otherwise(-n - 1))
+    return F.when(end < 0, -end - 1).otherwise(end)
 
 
 def _merged(runs: Column) -> Column:
@@ -98,16 +102,21 @@ def repeats(own: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame
     met = found.join(first.hint("merge"), "fp").filter("__key <> src or pos <> at")
     met = met.groupBy(F.col("__key").alias("later"), "src", (F.col("pos") - F.col("at")).alias("d")).agg(F.sort_array(F.collect_list("pos")).alias("places"))
     met = met.select("later", "src", "d", _joined(F.col("places"), line).alias("runs"))
-    met = common.staged(met.groupBy("later", "src").agg(F.collect_list(F.struct("d", "runs")).alias("ds")), "met")
+    met = met.select("later", "src", F.transform("runs", lambda r: F.struct(r.start.alias("start"), r.end.alias("end"), F.col("d"))).alias("runs"))
+    met = common.staged(met.groupBy("later", "src").agg(F.flatten(F.collect_list("runs")).alias("runs")), "met")
     earlier = common.staged(met.select(F.col("src").alias("__key")).distinct(), "earlier")
     texts = common.join_sized(own, earlier, ["__key"], "left_semi").select(F.col("__key").alias("src"), "text")
-    rows = met.join(texts.hint("merge"), "src").select("later", "ds", _words(F.col("text")).alias("s"))
-    rows = rows.select("later", "s", F.explode("ds").alias("m")).select("later", "s", "m.d", F.explode("m.runs").alias("r"))
-    low = F.greatest(F.col("r.start") - F.col("d") - REACH, F.lit(0))
-    before = F.reverse(F.slice("s", low + 1, F.greatest(F.col("r.start") - F.col("d") - low, F.lit(0))))
-    after = F.slice("s", F.col("r.end") - F.col("d") + 1, F.lit(REACH))
-    rows = rows.select("later", F.struct("r.start", "r.end", before.alias("before"), after.alias("after")).alias("run"))
-    return rows.groupBy(F.col("later").alias("__key")).agg(F.collect_list("run").alias("runs"))
+    rows = met.join(texts.hint("merge"), "src").select("later", "runs", _words(F.col("text")).alias("s"))
+
+    def with_context(r: Column) -> Column:
+        start, end = r.start - r.d, r.end - r.d
+        low = F.greatest(start - REACH, F.lit(0))
+        hashed = lambda a: F.transform(a, lambda x: F.xxhash64(x))
+        before = F.reverse(F.slice("s", low + 1, start - low))
+        return F.struct(r.start.alias("start"), r.end.alias("end"), hashed(before).alias("before"), hashed(F.slice("s", end + 1, F.lit(REACH))).alias("after"))
+
+    rows = rows.select("later", F.transform("runs", with_context).alias("runs"))
+    return rows.groupBy(F.col("later").alias("__key")).agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def cut_repeats(
@@ -117,24 +126,23 @@ def cut_repeats(
     keyed = common.row_keyed(docs, id_col)
     runs = common.staged(repeats(keyed.select("__key", F.col(text_col).alias("text")), line, window).withColumnRenamed("runs", "__runs"), "runs")
     rows = common.join_sized(keyed, runs, ["__key"], "left", 1_000)
-    rows = rows.withColumn("__w", _words(F.col(text_col)))
+    rows = rows.withColumn("__w", F.when(F.col("__runs").isNotNull(), _words(F.col(text_col))))
     grown = F.transform("__runs", lambda r: F.struct(
         (r.start - _agreeing(r.before, r.start - 1, -1)).alias("start"), (r.end + _agreeing(r.after, r.end, 1)).alias("end"),
     ))
-    rows = rows.withColumn("__cut", F.array_sort(grown))
-    rows = rows.withColumn("__cut", F.filter(_merged(F.col("__cut")), lambda r: r.end - r.start >= least))
-    # words with the white space after them, in step with __w
-    spaced = F.split(F.regexp_replace(text_col, r"^\s+", ""), r"(?<=\s)(?=\S)")
-    rows = rows.withColumn("__parts", F.when(F.size("__cut") > 0, spaced))
+    rows = rows.withColumn("__cut", F.filter(_merged(F.array_sort(grown)), lambda r: r.end - r.start >= least))
+    # words with the white space after them, in step with __w; __cut is named twice so that it stays a column
+    spaced = F.split(F.ltrim(text_col, F.lit(_BLANK)), r"(?<=\s)(?=\S)")
     gone = lambda i: F.exists("__cut", lambda r: (i >= r.start) & (i < r.end))
-    rows = rows.withColumn("__kept", F.filter("__parts", lambda x, i: ~gone(i)))
-    text = F.when(F.col("__parts").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", ""))
+    kept = F.filter(F.when(F.size("__cut") > 0, spaced), lambda x, i: ~gone(i))
+    rows = rows.withColumns({"__kept": kept, "__gone": F.aggregate("__cut", F.lit(0), lambda n, r: n + r.end - r.start)})
+    text = F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", ""))
+    every = _words(F.col(text_col))
     # a text that ends in white space has an empty last word; one without words a single empty one
-    count = F.size("__w") - F.when(F.element_at("__w", -1) == "", 1).otherwise(0)
+    count = F.size(every) - F.when(F.rtrim(text_col, F.lit(_BLANK)) != F.col(text_col), 1).when(F.col(text_col) == "", 1).otherwise(0)
     return rows.select(
         *(text.alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.coalesce(count, F.lit(0)).cast("long").alias("__words"),
-        F.coalesce(F.size("__parts") - F.size("__kept"), F.lit(0)).cast("long").alias("__removed"),
+        F.coalesce(count, F.lit(0)).cast("long").alias("__words"), F.coalesce("__gone", F.lit(0)).cast("long").alias("__removed"),
     )
 
 
