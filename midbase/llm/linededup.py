@@ -43,7 +43,7 @@ def _words(text: Column) -> Column:
 def fingerprints(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
     """(fp, __key, pos): the lines at the window minima of docs' (__key, text).
 
-    Lines are ordered by the hash of their first four words, which is as good an order as any. Lambdas over arrays are
+    Lines are ordered by the hash of their first two words, which is as good an order as any. Lambdas over arrays are
     slow, so only the hashes and the minima of four lines are made by them; minima of whole windows are taken in
     generated code, one row a window, and rows whose minimum is that of the window before go at once. Arrays that a
     lambda reads are columns of an earlier projection: made inside it they would be made for each element.
@@ -51,15 +51,18 @@ def fingerprints(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> Dat
     if line % 4 or window % 4 or not 4 <= window <= line:
         raise ValueError("line and window must be multiples of four, window at most line")
     ahead = lambda a, i, steps: [F.get(a, i + j) for j in steps]
+    next_ = lambda a, by, f: F.zip_with(a, F.slice(a, by + 1, F.size(a)), f)  # noqa: E731  null past the end
     rows = docs.select("__key", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    rows = rows.select("__key", "h", next_("h", 1, lambda x, y: F.xxhash64(x, y)).alias("m"))
     # hash above, position below: a minimum carries its place, and of equal hashes the first is taken
-    order = F.transform("h", lambda x, i: F.xxhash64(x, *ahead("h", i, (1, 2, 3))).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))
-    rows = rows.select("__key", "h", F.slice(order, 1, F.greatest(F.size("h") - line + 1, F.lit(0))).alias("m"))
-    rows = rows.select("__key", "h", F.size("m").alias("n"), F.transform("m", lambda x, i: F.least(x, *ahead("m", i, (1, 2, 3)))).alias("m"))
+    lines = F.slice("m", 1, F.greatest(F.size("m") - line + 1, F.lit(0)))
+    rows = rows.select("__key", "h", F.transform(lines, lambda x, i: x.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))).alias("m"))
+    for by in (1, 2):
+        rows = rows.select("__key", "h", next_("m", by, lambda x, y: F.least(x, y)).alias("m"))
+    rows = rows.select("__key", "h", "m", F.size("m").alias("n"))
     windows = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0))))
     rows = rows.select("__key", "h", "m", F.explode(windows).alias("i"))
     least = lambda i: F.least(*ahead("m", i, range(0, window, 4)))
-    # one least() of four reaches four lines on, so the last starts four before the window's end
     rows = rows.select("__key", "h", "i", least(F.col("i")).alias("now"), F.when(F.col("i") > 0, least(F.col("i") - 1)).alias("last"))
     rows = rows.filter((F.col("i") == 0) | (F.col("now") != F.col("last")))
     rows = rows.select("__key", "h", F.col("now").bitwiseAND(F.lit(_PLACE)).cast("int").alias("pos"))
@@ -67,19 +70,20 @@ def fingerprints(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> Dat
 
 
 def _joined(places: Column, line: int) -> Column:
-    """[start, end) of the runs that sorted places of overlapping or touching lines make."""
-    gaps = F.filter(F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda g: g.b - g.a > line)
+    """Runs that sorted (pos, d) of overlapping or touching lines make: start and end, and the diagonals of the
+    first and the last line, on which the run goes on beyond them."""
+    gaps = F.filter(F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda g: g.b.pos - g.a.pos > line)
     starts = F.concat(F.slice(places, 1, 1), F.transform(gaps, lambda g: g.b))
-    ends = F.concat(F.transform(gaps, lambda g: g.a + line), F.array(F.element_at(places, -1) + line))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    ends = F.concat(F.transform(gaps, lambda g: g.a), F.slice(places, -1, 1))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.pos.alias("start"), a.d.alias("before_d"), (b.pos + line).alias("end"), b.d.alias("after_d")))
 
 
 def _agreeing(context: Column, word_at: Column, step: int) -> Column:
     """How many words of the context (hashes, from the run outward) equal the text's words from word_at on; once a
     word differs the count is turned negative and left alone."""
     same = lambda n, c: F.xxhash64(F.get("__w", word_at + n * step)) == c
-    end = F.aggregate(context, F.lit(0), lambda n, c: F.when(n < 0, n).when(same(n, c), n + 1).otherwise(-n - 1))
-    return F.when(end < 0, -end - 1).otherwise(end)
+    step_on = lambda n, c: F.when(n < 0, n).when(same(n, c), n + 1).otherwise(-n - 1)
+    return F.aggregate(context, F.lit(0), step_on, lambda n: F.when(n < 0, -n - 1).otherwise(n))
 
 
 def _merged(runs: Column) -> Column:
@@ -98,18 +102,18 @@ def repeats(own: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame
     that place before (nearest first) and after it."""
     found = common.staged(fingerprints(own, line, window), "fingerprints")
     first = found.groupBy("fp").agg(F.min(F.struct("__key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = first.select("fp", F.col("first.__key").alias("src"), F.col("first.pos").alias("at"))
+    # staged, so that the join below has plain exchanges on both sides and a hot fingerprint can be split
+    first = common.staged(first.select("fp", F.col("first.__key").alias("src"), F.col("first.pos").alias("at")), "first")
     met = found.join(first.hint("merge"), "fp").filter("__key <> src or pos <> at")
-    met = met.groupBy(F.col("__key").alias("later"), "src", (F.col("pos") - F.col("at")).alias("d")).agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    met = met.select("later", "src", "d", _joined(F.col("places"), line).alias("runs"))
-    met = met.select("later", "src", F.transform("runs", lambda r: F.struct(r.start.alias("start"), r.end.alias("end"), F.col("d"))).alias("runs"))
-    met = common.staged(met.groupBy("later", "src").agg(F.flatten(F.collect_list("runs")).alias("runs")), "met")
+    places = F.sort_array(F.collect_list(F.struct("pos", (F.col("pos") - F.col("at")).alias("d"))))
+    met = met.groupBy(F.col("__key").alias("later"), "src").agg(places.alias("places"))
+    met = common.staged(met.select("later", "src", _joined(F.col("places"), line).alias("runs")), "met")
     earlier = common.staged(met.select(F.col("src").alias("__key")).distinct(), "earlier")
     texts = common.join_sized(own, earlier, ["__key"], "left_semi").select(F.col("__key").alias("src"), "text")
     rows = met.join(texts.hint("merge"), "src").select("later", "runs", _words(F.col("text")).alias("s"))
 
     def with_context(r: Column) -> Column:
-        start, end = r.start - r.d, r.end - r.d
+        start, end = r.start - r.before_d, r.end - r.after_d
         low = F.greatest(start - REACH, F.lit(0))
         hashed = lambda a: F.transform(a, lambda x: F.xxhash64(x))
         before = F.reverse(F.slice("s", low + 1, start - low))
@@ -122,7 +126,7 @@ def repeats(own: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame
 def cut_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line: int = LINE, window: int = WINDOW, least: int = LEAST
 ) -> DataFrame:
-    """docs with later repeated runs deleted from the text, plus __words and __removed (counts of words)."""
+    """docs with later repeated runs deleted from the text, plus __removed (words) and __emptied."""
     keyed = common.row_keyed(docs, id_col)
     runs = common.staged(repeats(keyed.select("__key", F.col(text_col).alias("text")), line, window).withColumnRenamed("runs", "__runs"), "runs")
     rows = common.join_sized(keyed, runs, ["__key"], "left", 1_000)
@@ -131,21 +135,24 @@ def cut_repeats(
         (r.start - _agreeing(r.before, r.start - 1, -1)).alias("start"), (r.end + _agreeing(r.after, r.end, 1)).alias("end"),
     ))
     rows = rows.withColumn("__cut", F.filter(_merged(F.array_sort(grown)), lambda r: r.end - r.start >= least))
-    # words with the white space after them, in step with __w; __cut is named twice so that it stays a column
-    spaced = F.split(F.ltrim(text_col, F.lit(_BLANK)), r"(?<=\s)(?=\S)")
-    gone = lambda i: F.exists("__cut", lambda r: (i >= r.start) & (i < r.end))
-    kept = F.filter(F.when(F.size("__cut") > 0, spaced), lambda x, i: ~gone(i))
-    rows = rows.withColumns({"__kept": kept, "__gone": F.aggregate("__cut", F.lit(0), lambda n, r: n + r.end - r.start)})
-    text = F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", ""))
-    every = _words(F.col(text_col))
-    # a text that ends in white space has an empty last word; one without words a single empty one
-    count = F.size(every) - F.when(F.rtrim(text_col, F.lit(_BLANK)) != F.col(text_col), 1).when(F.col(text_col) == "", 1).otherwise(0)
+    # words with the white space after them, in step with __w; what is left are the slices between cuts
+    spaced = F.regexp_extract_all(F.ltrim(text_col, F.lit(_BLANK)), F.lit(r"\S+\s*"), F.lit(0))
+    rows = rows.withColumns({
+        "__gone": F.aggregate("__cut", F.lit(0), lambda n, r: n + r.end - r.start),
+        "__kept": F.when((F.size("__cut") > 0) & (F.size("__w") > 0), spaced),
+    })
+    ends = F.concat(F.array(F.lit(0)), F.transform("__cut", lambda r: r.end))
+    starts = F.concat(F.transform("__cut", lambda r: r.start), F.array(F.size("__kept")))
+    left = F.zip_with(ends, starts, lambda a, b: F.array_join(F.slice("__kept", a + 1, F.greatest(b - a, F.lit(0))), ""))
+    text = F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.array_join(left, ""))
+    # a text that ends in white space has an empty last word
+    words = F.size("__w") - F.when(F.element_at("__w", -1) == "", 1).otherwise(0)
     return rows.select(
         *(text.alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.coalesce(count, F.lit(0)).cast("long").alias("__words"), F.coalesce("__gone", F.lit(0)).cast("long").alias("__removed"),
+        F.coalesce("__gone", F.lit(0)).cast("long").alias("__removed"), F.coalesce(F.col("__gone") >= words, F.lit(False)).alias("__emptied"),
     )
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = cut_repeats(common.table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", F.col("__words").alias("n_words"), F.col("__removed").alias("n_removed"), "text")
+    return cut.select("doc_id", F.col("__removed").alias("n_removed"), F.col("__emptied").alias("emptied"), "text")

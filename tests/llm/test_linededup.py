@@ -40,7 +40,7 @@ def test_passages_go_from_later_texts_only(spark, make_docs):
     for i, text in rows:
         want = text if i == 0 or i % 3 else text.replace(passage, "").replace("  ", " ")
         assert got[i].text.split() == want.split()
-        assert (got[i]["__words"], got[i]["__removed"]) == (len(text.split()), len(text.split()) - len(want.split()))
+        assert got[i]["__removed"] == len(text.split()) - len(want.split())
         assert short in got[i].text or i % 3 == 0
 
 
@@ -69,7 +69,7 @@ def test_odd_rows(spark, make_docs, odd_rows):
     assert len(rows) == len(odd_rows) and set(make_docs([]).columns) < set(got.columns)
     base = odd_rows[0][1]
     assert sum(r.text == base for r in rows) == 1 and next(r.doc_id for r in rows if r.text == base) == 1
-    assert sum(r["__removed"] == 120 and r.text == "" for r in rows) == 3
+    assert sum(r["__removed"] == 120 and r.text == "" and r["__emptied"] for r in rows) == 3 == sum(r["__emptied"] for r in rows)
     assert next(r for r in rows if r.doc_id == 2).text is None
     assert next(r for r in rows if r.doc_id == 4).text == odd_rows[3][1]
     assert L.cut_repeats(make_docs([])).count() == 0
