@@ -23,7 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated runs; documents that were nothing but copies go, n_chars is counted anew."""
     common.clear_staged(spark)
-    cut = linededup.cut_repeats(docs).filter("__removed = 0 or __removed < __words").drop("__words")
+    cut = linededup.cut_repeats(docs).filter("not __emptied").drop("__emptied")
     count = F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType)).drop("__removed")
 
