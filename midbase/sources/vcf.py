@@ -75,9 +75,9 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     samples = names[0].split("\t")[9:] if names else []
     f = F.split("line", "\t")
     rows = text.filter(~F.startswith("line", F.lit("#")) & (F.col("line") != "")).select("line", f.alias("f"))
-    place = F.array_position(F.split(F.col("f")[8], ":"), "KC").cast("int")
+    place, own = (F.array_position(F.split(F.col("f")[8], ":"), n).cast("int") for n in ("KC", "GT"))
     kc = lambda x, i: F.get(F.split(F.get(F.split(x, ":"), place - 1), ","), F.lit(i)).cast("long")
-    cells = F.transform(F.slice("f", 10, F.greatest(F.size("f") - 9, F.lit(0))), lambda x: F.struct(F.get(F.split(x, ":"), F.lit(0)).alias("gt"), kc(x, 0).alias("a1"), kc(x, 1).alias("a2")))
+    cells = F.transform(F.slice("f", 10, F.greatest(F.size("f") - 9, F.lit(0))), lambda x: F.struct(F.get(F.split(x, ":"), own - 1).alias("gt"), kc(x, 0).alias("a1"), kc(x, 1).alias("a2")))
     return rows.select(
         F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[2].alias("id"), F.col("f")[3].alias("ref"),
         F.col("f")[4].alias("alt"), F.col("f")[7].alias("info"), cells.alias("cells"), "line",
