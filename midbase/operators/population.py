@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,37 +16,70 @@ def features(kc: DataFrame) -> DataFrame:
     return kc.withColumn("comp", F.col("a1") / (depth + F.lit(1e-10))).withColumn("log_depth", F.log1p(depth.cast("double")))
 
 
-def mixed_distance(kc: DataFrame, inner: str = "manhattan", w_comp: float = 1.0, w_depth: float = 0.01) -> DataFrame:
-    """(s1, s2, distance) for sample pairs s1 < s2, summed over variants.
+def _pair_sums(rows: DataFrame, value: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(s1, s2, total) for sample pairs s1 < s2: value(x) summed over variants, x being one variant's features by sample.
 
-    Each variant's samples are gathered in one row (as wide as there are samples) and paired there, so pairs of
-    one variant are summed map-side before the only shuffle.
+    rows: variant, sample and `x`, an array of doubles. A variant's samples are gathered in one row (as wide as there are
+    samples). Each task adds up a matrix over its variants and emits it once, so rows grow with tasks and pairs of
+    samples, not with variants; the matrices are summed by one grouped aggregation.
     """
+    kind = rows.schema["sample"].dataType.simpleString()
+    own = rows.groupBy("variant").agg(F.collect_list(F.struct("sample", "x")).alias("all"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[object, int] = {}
+        total = np.zeros((0, 0))
+        for batch in batches:
+            for one in batch.column("all"):
+                cells = one.as_py()
+                at = [place.setdefault(c["sample"], len(place)) for c in cells]
+                if len(place) > len(total):
+                    grown = np.zeros((2 * len(place), 2 * len(place)))
+                    grown[: len(total), : len(total)] = total
+                    total = grown
+                total[np.ix_(at, at)] += value(np.array([c["x"] for c in cells]))
+        names = list(place)
+        i, j = np.nonzero(np.array([[a < b for b in names] for a in names], dtype=bool)) if names else ((), ())
+        for k in range(0, len(i), 100_000):
+            x, y = i[k : k + 100_000], j[k : k + 100_000]
+            yield pa.RecordBatch.from_pydict({
+                "s1": pa.array([names[n] for n in x], batch.schema.field("all").type.value_type.field("sample").type),
+                "s2": pa.array([names[n] for n in y], batch.schema.field("all").type.value_type.field("sample").type),
+                "part": pa.array(total[x, y]),
+            })
+
+    parts = own.select("all").mapInArrow(run, f"s1 {kind}, s2 {kind}, part double")
+    return parts.groupBy("s1", "s2").agg(F.sum("part").alias("total"))
+
+
+def mixed_distance(kc: DataFrame, inner: str = "manhattan", w_comp: float = 1.0, w_depth: float = 0.01) -> DataFrame:
+    """(s1, s2, distance) for sample pairs s1 < s2, summed over variants: weighted differences of comp and log_depth, added
+    (manhattan) or as the two sides of a right angle (euclidean)."""
     if inner not in ("manhattan", "euclidean"):
         raise ValueError("inner must be manhattan or euclidean")
-    own = features(kc).groupBy("variant").agg(F.collect_list(F.struct("sample", "comp", "log_depth")).alias("x"))
-    rows = own.select(F.explode("x").alias("p"), "x").select("p", F.explode("x").alias("q")).filter("p.sample < q.sample")
-    c, d = F.abs(F.col("p.comp") - F.col("q.comp")) * w_comp, F.abs(F.col("p.log_depth") - F.col("q.log_depth")) * w_depth
-    each = c + d if inner == "manhattan" else F.hypot(c, d)
-    return rows.groupBy(F.col("p.sample").alias("s1"), F.col("q.sample").alias("s2")).agg(F.sum(each).alias("distance"))
+
+    def value(x: np.ndarray) -> np.ndarray:
+        c, d = (w * np.abs(x[:, None, i] - x[None, :, i]) for i, w in enumerate((w_comp, w_depth)))
+        return c + d if inner == "manhattan" else np.hypot(c, d)
+
+    rows = features(kc).select("variant", "sample", F.array("comp", "log_depth").alias("x"))
+    return _pair_sums(rows, value).withColumnRenamed("total", "distance")
 
 
 def jaccard_distance(counts: DataFrame) -> DataFrame:
     """(s1, s2, distance): one less the share of variants present in both of those present in either.
 
-    counts(variant, sample, count); present means not zero. Pairs without any shared variant have distance 1; of two
+    counts(variant, sample, count); present means not zero; a variant without a row for a sample is absent there. Of two
     samples without any variant the distance is 0.
     """
     on = counts.filter("count <> 0").select("variant", "sample").distinct()
-    sizes = on.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
-    every = counts.select("sample").distinct().join(sizes, "sample", "left").fillna(0, ["n"])
-    pairs = every.select(F.col("sample").alias("s1"), F.col("n").alias("n1")).join(every.select(F.col("sample").alias("s2"), F.col("n").alias("n2")), F.col("s1") < F.col("s2"))
-    gathered = on.groupBy("variant").agg(F.collect_list("sample").alias("x"))
-    both = gathered.select(F.explode("x").alias("s1"), "x").select("s1", F.explode("x").alias("s2")).filter("s1 < s2")
-    both = both.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("both"))
-    rows = pairs.join(both, ["s1", "s2"], "left").fillna(0, ["both"])
-    either = F.col("n1") + F.col("n2") - F.col("both")
-    return rows.select("s1", "s2", F.when(either == 0, 0.0).otherwise(1 - F.col("both") / either).alias("distance"))
+    both = _pair_sums(on.withColumn("x", F.array(F.lit(1.0))), lambda x: np.ones((len(x), len(x))))
+    sizes = counts.groupBy("sample").agg(F.count_distinct(F.when(F.col("count") != 0, F.col("variant"))).alias("n"))
+    # one row per sample on either side: as many pairs as the result has
+    pairs = sizes.select(F.col("sample").alias("s1"), F.col("n").alias("n1")).join(sizes.select(F.col("sample").alias("s2"), F.col("n").alias("n2")), F.col("s1") < F.col("s2"))
+    rows = pairs.join(both, ["s1", "s2"], "left").fillna(0, ["total"])
+    either = F.col("n1") + F.col("n2") - F.col("total")
+    return rows.select("s1", "s2", F.when(either == 0, 0.0).otherwise(1 - F.col("total") / either).alias("distance"))
 
 
 def depth_by_contig(kc: DataFrame) -> DataFrame:
