@@ -92,28 +92,56 @@ def wide(rows: DataFrame, key: str, column: str, value: str) -> DataFrame:
     return rows.groupBy(key).pivot(column).agg(F.first(value))
 
 
-def clusters_at(distances: DataFrame, height: float) -> dict[str, int]:
-    """Complete-linkage clusters cut at a height, numbered in order of their smallest sample.
+MOST_SAMPLES = 5_000
 
-    On the driver: the matrix of a cohort's samples is small by nature (n x n, n genomes); refused beyond 5,000.
-    """
-    rows = distances.select("s1", "s2", "distance").limit(5_000 * 5_000 // 2 + 1).collect()
+
+def _matrix(distances: DataFrame) -> tuple[list, np.ndarray]:
+    """Samples and their distance matrix on the driver, where it is small by nature: n x n for a cohort of n genomes.
+    Refused beyond MOST_SAMPLES."""
+    rows = distances.select("s1", "s2", "distance").limit(MOST_SAMPLES**2 // 2 + 1).collect()
     samples = sorted({r[0] for r in rows} | {r[1] for r in rows})
-    if len(samples) > 5_000:
+    if len(samples) > MOST_SAMPLES:
         raise ValueError("too many samples to cluster on the driver")
-    gap = {(r[0], r[1]): r[2] for r in rows}
-    groups = [[s] for s in samples]
-    while True:
-        best = None
-        for i in range(len(groups)):
-            for j in range(i):
-                far = max(gap[min(a, b), max(a, b)] for a in groups[i] for b in groups[j])
-                if far <= height and (best is None or far < best[0]):
-                    best = far, j, i
-        if best is None:
+    place = {s: i for i, s in enumerate(samples)}
+    d = np.full((len(samples), len(samples)), np.inf)
+    for a, b, x in rows:
+        d[place[a], place[b]] = d[place[b], place[a]] = x
+    return samples, d
+
+
+def _agglomerate(samples: list, d: np.ndarray, method: str, height: float = np.inf, count: int = 1) -> dict:
+    """Merge the nearest clusters until they are farther apart than `height` or only `count` are left; clusters are
+    numbered in order of their smallest sample."""
+    size, groups, left = np.ones(len(d)), [[s] for s in samples], len(d)
+    while left > count:
+        i, j = np.unravel_index(int(np.argmin(d)), d.shape)
+        if not d[i, j] <= height or not np.isfinite(d[i, j]):
             break
-        groups[best[1]] += groups.pop(best[2])
-    return {s: n for n, g in enumerate(sorted(groups, key=min), 1) for s in g}
+        if method == "complete":
+            new = np.maximum(d[i], d[j])
+        else:
+            with np.errstate(invalid="ignore"):
+                new = np.sqrt(((size[i] + size) * d[i] ** 2 + (size[j] + size) * d[j] ** 2 - size * d[i, j] ** 2) / (size[i] + size[j] + size))
+            new[np.isnan(new)] = np.inf
+        groups[i] += groups[j]
+        groups[j] = []
+        size[i] += size[j]
+        new[i] = new[j] = np.inf
+        d[i], d[:, i] = new, new
+        d[j], d[:, j] = np.inf, np.inf
+        left -= 1
+    return {s: n for n, g in enumerate(sorted((g for g in groups if g), key=min), 1) for s in g}
+
+
+def clusters_at(distances: DataFrame, height: float) -> dict:
+    """Complete-linkage clusters cut at a height."""
+    return _agglomerate(*_matrix(distances), "complete", height=height)
+
+
+def ward_clusters(distances: DataFrame, counts: range = range(2, 21)) -> dict[int, dict]:
+    """Ward clusters of a distance matrix cut to each number of clusters."""
+    samples, d = _matrix(distances)
+    return {k: _agglomerate(samples, d.copy(), "ward", count=k) for k in counts if k <= len(samples)}
 
 
 def mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:

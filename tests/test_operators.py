@@ -116,6 +116,9 @@ def test_distances_and_clusters(spark):
     assert near == {("a", "b"): 0.5, ("a", "c"): 1.0, ("b", "c"): 0.5}
     flat = spark.createDataFrame([("a", "b", 0.05), ("a", "c", 0.5), ("b", "c", 0.08)], "s1 string, s2 string, distance double")
     assert population.clusters_at(flat, 0.1) == {"a": 1, "b": 1, "c": 2}
+    line = spark.createDataFrame([(i, j, float(abs(x - y))) for i, x in enumerate([0, 1, 5, 6, 20]) for j, y in enumerate([0, 1, 5, 6, 20]) if i < j], "s1 int, s2 int, distance double")
+    assert population.ward_clusters(line, range(2, 9)) == {2: {0: 1, 1: 1, 2: 1, 3: 1, 4: 2}, 3: {0: 1, 1: 1, 2: 2, 3: 2, 4: 3}, 4: {0: 1, 1: 1, 2: 2, 3: 3, 4: 4}, 5: {i: i + 1 for i in range(5)}}
+    assert population.clusters_at(line, 6.0) == {0: 1, 1: 1, 2: 1, 3: 1, 4: 2}
     same = spark.createDataFrame([("1", "x"), ("1", "x"), ("2", "y")], "a string, b string")
     assert population.mutual_information(same, "a", "b").first()[0] == pytest.approx(1)
     assert population.mutual_information(same.filter("a = '1'"), "a", "b").first()[0] == 1
