@@ -53,6 +53,7 @@ _token = re.compile(r"[\w+/.=-]+|[^\s\w+/.=-]")
 #: Tokens that are not plain: 8 or more characters with letters and digits.
 _from_digit = re.compile(r"[0-9][\w+/.=-]*")
 _head = re.compile(r"[\w+/.=-]*\Z")
+_tail = re.compile(r"[\w+/.=-]*")
 #: What makes the words after it worth decoding whatever their shape.
 _cue_assign = re.compile(r"(?:passw(?:or)?d|pwd|secret|token|api_?key)[\"']?\s{0,3}[:=]", re.IGNORECASE | re.ASCII)
 CUES = frozenset("password passwd pwd secret token apikey api_key key auth authorization bearer credential credentials private access".split())
@@ -304,8 +305,12 @@ def crf_spans(text: str, crf: Model) -> list[tuple[int, int, int]]:
     whole = whole_features(text, len(odd))
     if crf.margin > 0:
         stretches: list[list[int]] = []
+        token_end = -1
         for a, b in sorted(odd + cues):
-            low, high = _around(text, a, b)
+            if a < token_end:  # in the token of the one before: the same stretch
+                continue
+            token_end = _tail.match(text, a).end()
+            low, high = _around(text, a, max(b, token_end))
             if stretches and low <= stretches[-1][1]:
                 stretches[-1][1] = max(high, stretches[-1][1])
             else:
