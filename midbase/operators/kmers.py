@@ -67,18 +67,25 @@ def tiles(contigs: DataFrame, k: int, size: int) -> DataFrame:
     Cutting is done on bytes in one pass over each contig; pieces are then spread over tasks.
     """
 
+    names = ["genome_idx", "contig_idx", "contig", "seq", "start"]
+    types = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        held: list[tuple] = []
+        bases = 0
         for batch in batches:
-            for g, c, name, seq in zip(*(batch.column(x) for x in ("genome_idx", "contig_idx", "contig", "seq"))):
-                raw, n = seq.as_buffer() if seq.is_valid else None, 0
-                n = raw.size if raw else 0
-                for at in range(0, max(n - k + 1, 0), size - k + 1):
-                    piece = raw.slice(at, min(size, n - at)).to_pybytes()
-                    yield pa.RecordBatch.from_pydict({
-                        "genome_idx": pa.array([g.as_py()], pa.int32()), "contig_idx": pa.array([c.as_py()], pa.int64()),
-                        "contig": pa.array([name.as_py()], pa.string()), "seq": pa.array([piece.decode()], pa.string()),
-                        "start": pa.array([at], pa.int64()),
-                    })
+            for g, c, name, seq in zip(*(batch.column(x) for x in names[:4])):
+                raw = seq.as_buffer() if seq.is_valid else pa.py_buffer(b"")
+                for at in range(0, max(raw.size - k + 1, 0), size - k + 1):
+                    piece = raw.slice(at, min(size, raw.size - at)).to_pybytes().decode()
+                    held.append((g.as_py(), c.as_py(), name.as_py(), piece, at))
+                    bases += len(piece)
+                    if bases > 4_000_000:
+                        yield made(held)
+                        held, bases = [], 0
+        if held:
+            yield made(held)
 
     kind = "genome_idx int, contig_idx long, contig string, seq string, start long"
     columns = [F.col("genome_idx").cast("int"), F.col("contig_idx").cast("long"), F.col("contig").cast("string"), F.col("seq")]

@@ -1,4 +1,4 @@
-"""FASTA and FASTQ as contigs. Compressed files are read by their extension; each is one task's work."""
+"""FASTA and FASTQ as contigs."""
 
 from __future__ import annotations
 
@@ -40,41 +40,61 @@ def records(lines: Iterator[str]) -> Iterator[tuple[str, str]]:
 
 
 def read_genomes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Contigs of all inputs; genome_idx is the place in `paths`, contig_idx the place in the file.
+    """Contigs of all inputs; genome_idx is the place in `paths`, contig_idx follows the order in the file.
 
-    Files are read whole by Spark (any store, .gz by its codec), one a task; read_fasta_native splits large ones.
+    Files whose first record starts with '@' are read as FASTQ, the others as FASTA; plain or compressed (by extension).
     """
     if "-" in paths:
         raise ValueError("standard input can't be read twice; give a file")
     frames = None
     for i, path in enumerate(paths):
-        one = spark.read.text(path, wholetext=True).select(F.lit(i).alias("genome_idx"), F.col("value"))
+        head = spark.read.text(path).filter(F.trim("value") != "").first()
+        one = read_fastq(spark, path, i) if head and head[0].startswith("@") else read_fasta(spark, path, i)
         frames = one if frames is None else frames.union(one)
+    return frames
+
+
+def read_fasta(spark: SparkSession, path: str, genome_idx: int = 0) -> DataFrame:
+    """Contigs of a FASTA file, one row each, by Spark's own record splitting at a newline before '>'.
+
+    A plain file is read by as many tasks as it has splits; no row is longer than a contig, so files have no size
+    limit. Text before the first header is left out.
+    """
+    rows = spark.read.text(path, lineSep="\n>").select("value", F.monotonically_increasing_id().alias("contig_idx"), F.col("_metadata.file_block_start").alias("block"))
+    first = (F.col("block") == 0) & (F.col("contig_idx").bitwiseAND(F.lit((1 << 33) - 1)) == 0)
+    rows = rows.filter(~first | F.startswith("value", F.lit(">")))
+    rows = rows.withColumn("value", F.when(first, F.substr("value", F.lit(2))).otherwise(F.col("value")))
+    head = F.substring_index("value", "\n", 1)
+    seq = F.substr("value", F.length(head) + 2)
+    for blank in "\n\r\t ":
+        seq = F.replace(seq, F.lit(blank), F.lit(""))
+    return rows.select(F.lit(genome_idx).alias("genome_idx"), "contig_idx", F.regexp_extract(head, r"^(\S*)", 1).alias("contig"), seq.alias("seq"))
+
+
+def read_fastq(spark: SparkSession, path: str, genome_idx: int = 0) -> DataFrame:
+    """Records of a FASTQ file (FASTA records among them included), read line by line in file order: qualities may hold any
+    mark, so only the order of lines tells records apart. One task a file, which holds one record at a time."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for genome, value in zip(batch.column("genome_idx"), batch.column("value")):
-                text = value.as_py()
-                lines = (m[0] for m in re.finditer(r"[^\n]*\n|[^\n]+$", text))
-                for n, (name, seq) in enumerate(records(lines)):
-                    yield pa.RecordBatch.from_pydict({
-                        "genome_idx": pa.array([genome.as_py()], pa.int32()), "contig_idx": pa.array([n], pa.int64()),
-                        "contig": pa.array([name], pa.string()), "seq": pa.array([seq], pa.string()),
-                    })
-
-    return frames.mapInArrow(parse, CONTIGS)
-
-
-def read_fasta_native(spark: SparkSession, path: str, genome_idx: int = 0) -> DataFrame:
-    """One FASTA by Spark's line splitting at '>': large files of many contigs are read by many tasks. Contigs are
-    numbered by their order of reading."""
-    rows = spark.read.option("lineSep", ">").text(path).filter(F.col("value") != "")
-    head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
-    seq = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
-    return rows.select(
-        F.lit(genome_idx).alias("genome_idx"), F.monotonically_increasing_id().alias("contig_idx"),
-        F.regexp_extract(head, r"^(\S*)", 1).alias("contig"), seq.alias("seq"),
-    )
+        lines = (line.as_py() + "\n" for batch in batches for line in batch.column("value"))
+        held: list[tuple[int, str, str]] = []
+        size = 0
+        for n, (name, seq) in enumerate(records(lines)):
+            held.append((n, name, seq))
+            size += len(seq)
+            if size > 8_000_000:
+                yield _contigs(held, genome_idx)
+                held, size = [], 0
+        yield _contigs(held, genome_idx)
+
+    return spark.read.text(path).coalesce(1).mapInArrow(parse, CONTIGS)
+
+
+def _contigs(rows: list[tuple[int, str, str]], genome_idx: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "genome_idx": pa.array([genome_idx] * len(rows), pa.int32()), "contig_idx": pa.array([n for n, _, _ in rows], pa.int64()),
+        "contig": pa.array([n for _, n, _ in rows], pa.string()), "seq": pa.array([s for _, _, s in rows], pa.string()),
+    })
 
 
 def write_snpmer_fasta(sites: DataFrame, path: str) -> None:

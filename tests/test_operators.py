@@ -27,11 +27,26 @@ def test_fasta_and_fastq(spark, tmp_path):
     assert list(sequences.records(iter(lines))) == [("a", "ACGT"), ("q", "ACG"), ("z", "T")]
     with gzip.open(tmp_path / "g.fa.gz", "wt") as f:
         f.write(">one\nAC\nGT\n>two x\nT")
-    (tmp_path / "p.fa").write_text(">three\nA\n")
-    rows = sequences.read_genomes(spark, [f"{tmp_path}/g.fa.gz", f"{tmp_path}/p.fa"]).collect()
-    assert sorted(map(tuple, rows)) == [(0, 0, "one", "ACGT"), (0, 1, "two", "T"), (1, 0, "three", "A")]
-    native = sequences.read_fasta_native(spark, f"{tmp_path}/g.fa.gz").collect()
-    assert [(r.contig, r.seq) for r in native] == [("one", "ACGT"), ("two", "T")]
+    (tmp_path / "p.fa").write_text("junk\n>three a > b\r\nA C\r\n\r\nG\n>\n>four\n")
+    (tmp_path / "q.fq").write_text("@r1 x\nAC\n+\n>@\n@r2\nG\n+r2\nI\n")
+    (tmp_path / "none.fa").write_text("")
+    rows = sequences.read_genomes(spark, [f"{tmp_path}/{n}" for n in ("g.fa.gz", "p.fa", "q.fq", "none.fa")]).collect()
+    order = {}
+    for r in sorted(rows, key=lambda r: (r.genome_idx, r.contig_idx)):
+        order.setdefault(r.genome_idx, []).append((r.contig, r.seq))
+    assert order == {0: [("one", "ACGT"), ("two", "T")], 1: [("three", "ACG"), ("", ""), ("four", "")], 2: [("r1", "AC"), ("r2", "G")]}
+
+
+def test_fasta_in_many_splits(spark, tmp_path):
+    want = [(f"c{i}", "ACGT" * (i % 7)) for i in range(300)]
+    (tmp_path / "m.fa").write_text("".join(f">{n} d\n{s}\n" for n, s in want))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        df = sequences.read_fasta(spark, f"{tmp_path}/m.fa")
+        assert df.rdd.getNumPartitions() > 3
+        assert [(r.contig, r.seq) for r in sorted(df.collect(), key=lambda r: r.contig_idx)] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def regions_frame(spark, rows):
