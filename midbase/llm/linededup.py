@@ -134,7 +134,10 @@ def cut_repeats(
     grown = F.transform("__runs", lambda r: F.struct(
         (r.start - _agreeing(r.before, r.start - 1, -1)).alias("start"), (r.end + _agreeing(r.after, r.end, 1)).alias("end"),
     ))
-    rows = rows.withColumn("__cut", F.filter(_merged(F.array_sort(grown)), lambda r: r.end - r.start >= least))
+    # the row number is never negative. Naming it keeps the optimiser from moving filters on the result below this projection, where it
+    # would put the making of __w inside the lambdas above, and so repeat it for every word they look at
+    long = F.filter(_merged(F.array_sort(grown)), lambda r: r.end - r.start >= least)
+    rows = rows.withColumn("__cut", F.when(F.monotonically_increasing_id() >= 0, long))
     # words with the white space after them, in step with __w; what is left are the slices between cuts
     spaced = F.regexp_extract_all(F.ltrim(text_col, F.lit(_BLANK)), F.lit(r"\S+\s*"), F.lit(0))
     rows = rows.withColumns({
