@@ -37,6 +37,7 @@ SAMPLE_ROWS = 6000
 WORD_BITS = 20
 MOST_WORDS = 400
 MIN_Z = 6.0
+LEAST_SEEN = 5  # documents that a word must be in to be considered
 UPPER = bytes(range(65, 91))
 LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 SPACE_DIGITS = b" \t\r\n0123456789"
@@ -133,8 +134,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05, steps: int = 40) -
     ridge = np.full(x.shape[1], l2)
     ridge[0] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (y - p) - ridge * w)
+        curve, slope = np.diag(ridge + 1e-9), -ridge * w
+        for i in range(0, len(x), 512):  # in blocks, as the driver has little memory
+            own = x[i : i + 512].astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            curve += (own * (p * (1 - p))[:, None]).T @ own
+            slope += own.T @ (y[i : i + 512] - p)
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -145,19 +151,24 @@ def _fit_one(y: np.ndarray, places: np.ndarray, n_bins: int, words: list[np.ndar
     if not len(y) or y.all() or not y.any():
         rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
         return Logistic(bias=float(np.log(rate / (1 - rate))))
-    size = 1 << WORD_BITS
-    present = [np.bincount(np.concatenate([w for w, t in zip(words, y) if t == k] or [np.empty(0, int)]).astype(int), minlength=size) for k in (0, 1)]
+    present = np.zeros((2, 1 << WORD_BITS), np.int32)
+    for w, t in zip(words, y):
+        present[int(t), w] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
-    p1, p0, p = present[1] / n1, present[0] / n0, (present[0] + present[1] + 1) / (len(y) + 2)
+    seen = np.flatnonzero(present.sum(axis=0) >= LEAST_SEEN)
+    p0, p1 = present[0, seen] / n0, present[1, seen] / n1
+    p = (present[:, seen].sum(axis=0) + 1) / (len(y) + 2)
     z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    chosen = np.argsort(-np.abs(z))[:MOST_WORDS]
-    chosen = np.sort(chosen[np.abs(z[chosen]) > MIN_Z])
-    hot = (places[:, :, None] == np.arange(n_bins)).reshape(len(y), -1) * float(shaped)
-    own = np.zeros((len(y), len(chosen)))
-    for i, w in enumerate(words):
-        own[i, np.searchsorted(chosen, np.intersect1d(chosen, w))] = 1
-    fit = _logistic(np.hstack([np.ones((len(y), 1)), hot, own]), y)
+    best = np.argsort(-np.abs(z), kind="stable")[:MOST_WORDS]
+    chosen = np.sort(seen[best[np.abs(z[best]) > MIN_Z]])
     k = len(SHAPES) * n_bins
+    x = np.zeros((len(y), 1 + k + len(chosen)), np.int8)
+    x[:, 0] = 1
+    if shaped:
+        x[:, 1 : k + 1] = (places[:, :, None] == np.arange(n_bins)).reshape(len(y), -1)
+    for i, w in enumerate(words):
+        x[i, 1 + k + np.searchsorted(chosen, np.intersect1d(chosen, w))] = 1
+    fit = _logistic(x, y)
     return Logistic(float(fit[0]), fit[1 : k + 1].reshape(len(SHAPES), n_bins), dict(zip(chosen.tolist(), fit[k + 1 :].tolist())))
 
 
