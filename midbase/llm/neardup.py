@@ -55,7 +55,7 @@ class _WordHashes(dict):
     """Word to 64-bit hash; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -139,6 +139,7 @@ def _sketcher(k: int):
                 "__key": batch.column("__key"), "id": batch.column("id"), "n": pa.array(sizes, pa.int64()),
                 "digest": pa.array(digests, pa.binary()), "sketch": pa.array(sketches, pa.binary()),
             })
+        _hashes.clear()  # the worker lives on and runs other stages
 
     return run
 
@@ -231,6 +232,7 @@ def _setter(k: int):
                     [*(part.column(i) for i in range(part.num_columns - 1)), pa.array(sets, pa.binary())],
                     names=[*part.schema.names[:-1], "s"],
                 )
+        _hashes.clear()
 
     return run
 

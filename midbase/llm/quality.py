@@ -71,7 +71,7 @@ class _Ids(dict):
         self.chosen = chosen
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         own = word_ids(word)
         value = self[word] = own if self.chosen is None else tuple(i for i in own if i in self.chosen)
@@ -242,7 +242,9 @@ def judge(
 
     @F.pandas_udf("struct<low double, toxic double>")
     def score(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([evidence.score(t) for t in texts], columns=["low", "toxic"], dtype=float)
+        found = pd.DataFrame([evidence.score(t) for t in texts], columns=["low", "toxic"], dtype=float)
+        evidence.known.clear()  # the worker lives on and runs other stages
+        return found
 
     site = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(n) for c, n in ((host_col, "host"), (path_col, "path"))]
     scored = docs.select(*site, score(text_col).alias("p")).select("host", "path", "p.low", "p.toxic")
