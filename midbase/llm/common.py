@@ -75,6 +75,11 @@ def row_keyed(docs: DataFrame, id_col: str, key: str = "__key") -> DataFrame:
     return staged(numbered, "keyed")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most so many rows go to Python at once: whole texts are long, and both sides hold the batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows
