@@ -17,12 +17,14 @@ from midbase.llm import common, decontaminate, linededup, neardup, packing, qual
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are neither of low quality nor toxic."""
     common.clear_staged(spark)
+    common.small_batches(spark)
     return quality.judge(docs, common.table(spark, sf_dir, "labels")).filter("__judged.kept").drop("__judged")
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated runs; documents that were nothing but copies go, n_chars is counted anew."""
     common.clear_staged(spark)
+    common.small_batches(spark)
     cut = linededup.cut_repeats(docs).filter("not __emptied").drop("__emptied")
     count = F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType)).drop("__removed")
@@ -31,18 +33,21 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingle sets are alike to 0.8 or more."""
     common.clear_staged(spark)
+    common.small_batches(spark)
     return neardup.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item: here one leaked passage is enough."""
     common.clear_staged(spark)
+    common.small_batches(spark)
     return decontaminate.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences with every window mixed in the sources' proportions."""
     common.clear_staged(spark)
+    common.small_batches(spark)
     return packing.pack(docs)
 
 
