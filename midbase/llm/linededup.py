@@ -1,6 +1,7 @@
-"""Line dedup by winnowing, in DataFrame functions only.
+"""Line dedup by winnowing and by whole stored lines, in DataFrame functions only.
 
-A line is any LINE consecutive words of a text (a rolling line): repeated passages start and end inside
+Stored lines (ended by a newline, with at least one word) are hashed whole, and each but the first of equal ones is
+deleted, however short it is. Repeated passages need another way: for them a line is any LINE consecutive words of a text (a rolling line): repeated passages start and end inside
 the stored, newline-ended lines, whose own hashes would miss them. Of each WINDOW consecutive line hashes the
 smallest is a fingerprint, so two texts that share LINE + WINDOW - 1 words in a row share a fingerprint there.
 Fingerprints are joined to the first place that has them; each match gives a diagonal of two texts. Since
@@ -10,11 +11,13 @@ words at each end. Stretches of at least `least` words that such runs make up, e
 place, are deleted from the later text; the earlier place (smaller id, then smaller position) keeps them. Words
 are compared as they stand; white space may differ.
 
-Every deleted run is a copy of an earlier one. Grouping is by partial sums, and the join to the first places has
+Every deleted run or stored line is a copy of an earlier one. Places are those of the texts as given, so an earlier
+place counts even if it is deleted too: what it holds is then at a place before it. Grouping is by partial sums, and the join to the first places has
 one row per fingerprint on one side, so frequent lines are no hot keys. Of the texts, only the earlier ones of
 matches are looked up for their words around runs, and all of them once for the cut.
 
-Cases: a null text stays null and has no words; texts shorter than a line are left alone; of rows that repeat
+Cases: a null text stays null and has no words; texts shorter than a rolling line only have stored lines, blank
+lines are none; of rows that repeat
 id and text the first in row order is kept whole; ids may be null or repeat (rows then count in (id, row)
 order); further columns are kept.
 """
@@ -69,6 +72,26 @@ def fingerprints(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> Dat
     return rows.select(F.xxhash64(*ahead("h", F.col("pos"), range(line))).alias("fp"), "__key", "pos")
 
 
+def stored_lines(docs: DataFrame) -> DataFrame:
+    """(h, g, __key, pos): two hashes of each stored line of docs' (__key, text) that has words, and its number among these."""
+    flat = F.regexp_replace("text", r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")
+    rows = docs.select("__key", F.posexplode(F.split(F.trim(flat, F.lit(" \n")), r" ?\n[ \n]*")).alias("pos", "l")).filter("l <> ''")
+    return rows.select(F.xxhash64("l").alias("h"), F.hash("l").alias("g"), "__key", "pos")
+
+
+def later(found: DataFrame, on: list[str]) -> DataFrame:
+    """(__key, pos) of the rows of the staged table found (on, __key, pos) but the first of those equal in `on`."""
+    first = found.groupBy(*on).agg(F.min(F.struct("__key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = common.staged(first.select(*on, F.col("first.__key").alias("src"), F.col("first.pos").alias("at")), "first")
+    return found.join(first.hint("merge"), on).filter("__key <> src or pos <> at").select("__key", "pos")
+
+
+def repeated_lines(own: DataFrame) -> DataFrame:
+    """(__key, lines): for texts (__key, text) the numbers of the stored lines that an earlier place has too."""
+    rows = later(common.staged(stored_lines(own), "lines"), ["h", "g"])
+    return rows.groupBy("__key").agg(F.sort_array(F.collect_list("pos")).alias("lines"))
+
+
 def _joined(places: Column, line: int) -> Column:
     """Runs that sorted (pos, d) of overlapping or touching lines make: start and end, and the diagonals of the
     first and the last line, on which the run goes on beyond them."""
@@ -97,6 +120,14 @@ def _merged(runs: Column) -> Column:
     return F.aggregate(runs, F.array().cast("array<struct<start:int,end:int>>"), put)
 
 
+def _touching(runs: Column) -> Column:
+    """Sorted runs that do not overlap with those that touch made one, in one pass."""
+    pairs = F.filter(F.zip_with(runs, F.slice(runs, 2, F.size(runs)), lambda a, b: F.struct(a.end.alias("end"), b.start.alias("start"))), lambda p: p.start > p.end)
+    starts = F.concat(F.transform(F.slice(runs, 1, 1), lambda r: r.start), F.transform(pairs, lambda p: p.start))
+    ends = F.concat(F.transform(pairs, lambda p: p.end), F.transform(F.slice(runs, -1, 1), lambda r: r.end))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+
 def repeats(own: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
     """(__key, runs): for texts (__key, text) the runs that an earlier place has too, each with up to REACH words of
     that place before (nearest first) and after it."""
@@ -128,31 +159,38 @@ def cut_repeats(
 ) -> DataFrame:
     """docs with later repeated runs deleted from the text, plus __removed (words) and __emptied."""
     keyed = common.row_keyed(docs, id_col)
-    runs = common.staged(repeats(keyed.select("__key", F.col(text_col).alias("text")), line, window).withColumnRenamed("runs", "__runs"), "runs")
-    rows = common.join_sized(keyed, runs, ["__key"], "left", 1_000)
+    own = keyed.select("__key", F.col(text_col).alias("text"))
+    runs = repeats(own, line, window).withColumnRenamed("runs", "__runs")
+    lines = repeated_lines(own).withColumnRenamed("lines", "__lines")
+    found = common.staged(runs.join(lines, "__key", "full"), "runs")
+    rows = common.join_sized(keyed, found, ["__key"], "left", 1_000)
     rows = rows.withColumn("__w", F.when(F.col("__runs").isNotNull(), _words(F.col(text_col))))
     grown = F.transform("__runs", lambda r: F.struct(
         (r.start - _agreeing(r.before, r.start - 1, -1)).alias("start"), (r.end + _agreeing(r.after, r.end, 1)).alias("end"),
     ))
-    # the row number is never negative. Naming it keeps the optimiser from moving filters on the result below this projection, where it
-    # would put the making of __w inside the lambdas above, and so repeat it for every word they look at
+    # the row number is never negative. Naming it keeps the optimiser from moving filters on the result below these projections, where it
+    # would put the making of arrays inside the lambdas, and so repeat it for every word they look at
     long = F.filter(_merged(F.array_sort(grown)), lambda r: r.end - r.start >= least)
-    rows = rows.withColumn("__cut", F.when(F.monotonically_increasing_id() >= 0, long))
     # words with the white space after them, in step with __w; what is left are the slices between cuts
     spaced = F.regexp_extract_all(F.ltrim(text_col, F.lit(_BLANK)), F.lit(r"\S+\s*"), F.lit(0))
-    rows = rows.withColumns({
-        "__gone": F.aggregate("__cut", F.lit(0), lambda n, r: n + r.end - r.start),
-        "__kept": F.when((F.size("__cut") > 0) & (F.size("__w") > 0), spaced),
-    })
+    rows = rows.withColumn("__long", F.when(F.monotonically_increasing_id() >= 0, long))
+    rows = rows.withColumn("__kept", F.when((F.size("__long") > 0) | F.col("__lines").isNotNull(), spaced))
+    breaks = F.transform("__kept", lambda x, i: F.when(F.contains(x, F.lit("\n")), i + 1))
+    rows = rows.withColumn("__breaks", F.when(F.col("__lines").isNotNull(), F.filter(breaks, lambda i: i.isNotNull())))
+    whole = F.transform("__lines", lambda n: F.struct(
+        F.when(n > 0, F.get("__breaks", n - 1)).otherwise(0).alias("start"), F.coalesce(F.get("__breaks", n), F.size("__kept")).alias("end"),
+    ))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    cut = _merged(F.array_sort(F.concat(F.coalesce("__long", none), F.coalesce(_touching(whole), none))))
+    rows = rows.withColumn("__cut", F.when(F.monotonically_increasing_id() >= 0, cut))
+    rows = rows.withColumn("__gone", F.aggregate("__cut", F.lit(0), lambda n, r: n + r.end - r.start))
     ends = F.concat(F.array(F.lit(0)), F.transform("__cut", lambda r: r.end))
     starts = F.concat(F.transform("__cut", lambda r: r.start), F.array(F.size("__kept")))
     left = F.zip_with(ends, starts, lambda a, b: F.array_join(F.slice("__kept", a + 1, F.greatest(b - a, F.lit(0))), ""))
     text = F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.array_join(left, ""))
-    # a text that ends in white space has an empty last word
-    words = F.size("__w") - F.when(F.element_at("__w", -1) == "", 1).otherwise(0)
     return rows.select(
         *(text.alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.coalesce("__gone", F.lit(0)).cast("long").alias("__removed"), F.coalesce(F.col("__gone") >= words, F.lit(False)).alias("__emptied"),
+        F.coalesce("__gone", F.lit(0)).cast("long").alias("__removed"), F.coalesce(F.col("__gone") >= F.size("__kept"), F.lit(False)).alias("__emptied"),
     )
 
 

@@ -63,6 +63,26 @@ def test_what_goes_is_what_an_earlier_text_has(spark, make_docs, odd_rows):
     assert lost <= 0.03 * sum(map(sum, must))
 
 
+def test_stored_lines_repeat(spark, make_docs):
+    """Each stored line but its first copy goes, however short, and nothing else does."""
+    rng = random.Random(14)
+    pool = ["Les.", "All rights  reserved.", *(prose(rng, n, 10**6) for n in (1, 4, 9, 23, 24, 30, 46))]
+    rows, seen, want = [], set(), {}
+    for i in range(40):
+        lines = [rng.choice([*pool, "", "\t ", prose(rng, 7, 10**6)]) for _ in range(rng.randrange(12))]
+        rows.append((i, rng.choice(["\n", "\r\n", " \n\n  "]).join(lines) + rng.choice(["", "\n"])))
+        want[i] = []
+        for words in map(str.split, lines):
+            if tuple(words) not in seen:
+                want[i] += words
+            seen.add(tuple(words))
+    for r in L.cut_repeats(make_docs(rows)).collect():
+        text = dict(rows)[r.doc_id]
+        assert r.text.split() == want[r.doc_id] and r["__removed"] == len(text.split()) - len(want[r.doc_id])
+        assert r["__emptied"] == (bool(text.split()) and not want[r.doc_id])
+        assert r["__removed"] or r.text == text
+
+
 def test_odd_rows(spark, make_docs, odd_rows):
     got = L.cut_repeats(make_docs(odd_rows))
     rows = got.collect()
