@@ -4,17 +4,17 @@ Stored lines (ended by a newline, with at least one word) are hashed whole, and
 deleted, however short it is. Repeated passages need another way: for them a line is any LINE consecutive words of a text (a rolling line): repeated passages start and end inside
 the stored, newline-ended lines, whose own hashes would miss them. Of each WINDOW consecutive line hashes the
 smallest is a fingerprint, so two texts that share LINE + WINDOW - 1 words in a row share a fingerprint there.
-Fingerprints are joined to the first place that has them; each match gives a diagonal of two texts. Since
-fingerprints of a shared run are at most WINDOW <= LINE words apart, the matched lines of a diagonal overlap
-and join to runs without a look at the texts. Runs are then extended both ways word by word, over up to REACH
-words at each end. Stretches of at least `least` words that such runs make up, each run a copy of some earlier
-place, are deleted from the later text; the earlier place (smaller id, then smaller position) keeps them. Words
-are compared as they stand; white space may differ.
+Fingerprints only say where to look: around each one that is in two places at least, all lines that start less than
+WINDOW words away are hashed, and each of these but the first of equal ones is a repeated line, whichever text has the
+first. Stretches of at least `least` words that repeated lines make up, overlapping or touching, are deleted; the
+earlier places (smaller id, then smaller position) keep them. As each WINDOW lines of a text have a fingerprint, no
+run of LEAST words that an earlier place has too can be missed, and be it that its lines are first in different
+texts. Words are compared as they stand; white space may differ.
 
 Every deleted run or stored line is a copy of an earlier one. Places are those of the texts as given, so an earlier
-place counts even if it is deleted too: what it holds is then at a place before it. Grouping is by partial sums, and the join to the first places has
-one row per fingerprint on one side, so frequent lines are no hot keys. Of the texts, only the earlier ones of
-matches are looked up for their words around runs, and all of them once for the cut.
+place counts even if it is deleted too: what it holds is then at a place before it. Grouping is by
+partial sums, and the joins to repeated fingerprints and first places have one row per hash on one side, so frequent
+lines are no hot keys. Texts without a repeated fingerprint are read again only for the cut.
 
 Cases: a null text stays null and has no words; texts shorter than a rolling line only have stored lines, blank
 lines are none; of rows that repeat
@@ -31,7 +31,6 @@ from . import common
 
 LINE = WINDOW = 24  # words a line, lines a window; multiples of 4
 LEAST = LINE + WINDOW - 1
-REACH = WINDOW  # a shared run's first and last fingerprints are nearer to its ends than that
 _PLACE = (1 << 29) - 1  # word positions of a text fit into 29 bits
 
 
@@ -40,7 +39,7 @@ _BLANK = " \t\n\x0b\f\r"
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.ltrim(text, F.lit(_BLANK)), r"\s+")
+    return F.split(F.trim(text, F.lit(_BLANK)), r"\s+")
 
 
 def fingerprints(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
@@ -93,20 +92,11 @@ def repeated_lines(own: DataFrame) -> DataFrame:
 
 
 def _joined(places: Column, line: int) -> Column:
-    """Runs that sorted (pos, d) of overlapping or touching lines make: start and end, and the diagonals of the
-    first and the last line, on which the run goes on beyond them."""
-    gaps = F.filter(F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda g: g.b.pos - g.a.pos > line)
+    """Runs that lines at sorted places make, where they overlap or touch."""
+    gaps = F.filter(F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda g: g.b - g.a > line)
     starts = F.concat(F.slice(places, 1, 1), F.transform(gaps, lambda g: g.b))
     ends = F.concat(F.transform(gaps, lambda g: g.a), F.slice(places, -1, 1))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.pos.alias("start"), a.d.alias("before_d"), (b.pos + line).alias("end"), b.d.alias("after_d")))
-
-
-def _agreeing(context: Column, word_at: Column, step: int) -> Column:
-    """How many words of the context (hashes, from the run outward) equal the text's words from word_at on; once a
-    word differs the count is turned negative and left alone."""
-    same = lambda n, c: F.xxhash64(F.get("__w", word_at + n * step)) == c
-    step_on = lambda n, c: F.when(n < 0, n).when(same(n, c), n + 1).otherwise(-n - 1)
-    return F.aggregate(context, F.lit(0), step_on, lambda n: F.when(n < 0, -n - 1).otherwise(n))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b + line).alias("end")))
 
 
 def _merged(runs: Column) -> Column:
@@ -128,30 +118,28 @@ def _touching(runs: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
 
 
+def lines_around(own: DataFrame, near: DataFrame, line: int, window: int) -> DataFrame:
+    """(fp, __key, pos): all lines of texts (__key, text) that start less than `window` words from one of near's (__key, at), `at` sorted."""
+    rows = common.join_sized(own, near, ["__key"], "inner", 1_000)
+    rows = rows.select("__key", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"), F.arrays_zip("at", F.concat(F.array(F.lit(-window)), "at").alias("last")).alias("at"))
+    rows = rows.select("__key", "h", F.explode("at").alias("p")).filter("p.at is not null")
+    # from behind the lines around the place before, so that each line is made once
+    low = F.greatest(F.col("p.at") - window + 1, F.col("p.last") + window, F.lit(0))
+    high = F.least(F.col("p.at") + window - 1, F.size("h") - line)
+    rows = rows.select("__key", "h", low.alias("low"), high.alias("high")).filter("low <= high")
+    rows = rows.select("__key", "h", F.explode(F.sequence("low", "high")).alias("pos"))
+    return rows.select(F.xxhash64(*(F.get("h", F.col("pos") + j) for j in range(line))).alias("fp"), "__key", "pos")
+
+
 def repeats(own: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
-    """(__key, runs): for texts (__key, text) the runs that an earlier place has too, each with up to REACH words of
-    that place before (nearest first) and after it."""
+    """(__key, runs): for texts (__key, text) the runs that lines which an earlier place has too make up."""
     found = common.staged(fingerprints(own, line, window), "fingerprints")
-    first = found.groupBy("fp").agg(F.min(F.struct("__key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # staged, so that the join below has plain exchanges on both sides and a hot fingerprint can be split
-    first = common.staged(first.select("fp", F.col("first.__key").alias("src"), F.col("first.pos").alias("at")), "first")
-    met = found.join(first.hint("merge"), "fp").filter("__key <> src or pos <> at")
-    places = F.sort_array(F.collect_list(F.struct("pos", (F.col("pos") - F.col("at")).alias("d"))))
-    met = met.groupBy(F.col("__key").alias("later"), "src").agg(places.alias("places"))
-    met = common.staged(met.select("later", "src", _joined(F.col("places"), line).alias("runs")), "met")
-    earlier = common.staged(met.select(F.col("src").alias("__key")).distinct(), "earlier")
-    texts = common.join_sized(own, earlier, ["__key"], "left_semi").select(F.col("__key").alias("src"), "text")
-    rows = met.join(texts.hint("merge"), "src").select("later", "runs", _words(F.col("text")).alias("s"))
-
-    def with_context(r: Column) -> Column:
-        start, end = r.start - r.before_d, r.end - r.after_d
-        low = F.greatest(start - REACH, F.lit(0))
-        hashed = lambda a: F.transform(a, lambda x: F.xxhash64(x))
-        before = F.reverse(F.slice("s", low + 1, start - low))
-        return F.struct(r.start.alias("start"), r.end.alias("end"), hashed(before).alias("before"), hashed(F.slice("s", end + 1, F.lit(REACH))).alias("after"))
-
-    rows = rows.select("later", F.transform("runs", with_context).alias("runs"))
-    return rows.groupBy(F.col("later").alias("__key")).agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    often = common.staged(found.groupBy("fp").count().filter("count > 1").select("fp"), "often")
+    near = found.join(often.hint("merge"), "fp").groupBy("__key").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    rows = later(common.staged(lines_around(own, common.staged(near, "near"), line, window), "around"), ["fp"])
+    rows = rows.groupBy("__key").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    return rows.select("__key", _joined(F.col("places"), line).alias("runs"))
 
 
 def cut_repeats(
@@ -160,21 +148,17 @@ def cut_repeats(
     """docs with later repeated runs deleted from the text, plus __removed (words) and __emptied."""
     keyed = common.row_keyed(docs, id_col)
     own = keyed.select("__key", F.col(text_col).alias("text"))
-    runs = repeats(own, line, window).withColumnRenamed("runs", "__runs")
+    long = F.filter("runs", lambda r: r.end - r.start >= least)
+    runs = repeats(own, line, window).select("__key", long.alias("__long")).filter(F.size("__long") > 0)
     lines = repeated_lines(own).withColumnRenamed("lines", "__lines")
     found = common.staged(runs.join(lines, "__key", "full"), "runs")
     rows = common.join_sized(keyed, found, ["__key"], "left", 1_000)
-    rows = rows.withColumn("__w", F.when(F.col("__runs").isNotNull(), _words(F.col(text_col))))
-    grown = F.transform("__runs", lambda r: F.struct(
-        (r.start - _agreeing(r.before, r.start - 1, -1)).alias("start"), (r.end + _agreeing(r.after, r.end, 1)).alias("end"),
-    ))
+    # words with the white space after them; what is left are the slices between cuts
+    spaced = F.regexp_extract_all(F.ltrim(text_col, F.lit(_BLANK)), F.lit(r"\S+\s*"), F.lit(0))
     # the row number is never negative. Naming it keeps the optimiser from moving filters on the result below these projections, where it
     # would put the making of arrays inside the lambdas, and so repeat it for every word they look at
-    long = F.filter(_merged(F.array_sort(grown)), lambda r: r.end - r.start >= least)
-    # words with the white space after them, in step with __w; what is left are the slices between cuts
-    spaced = F.regexp_extract_all(F.ltrim(text_col, F.lit(_BLANK)), F.lit(r"\S+\s*"), F.lit(0))
-    rows = rows.withColumn("__long", F.when(F.monotonically_increasing_id() >= 0, long))
-    rows = rows.withColumn("__kept", F.when((F.size("__long") > 0) | F.col("__lines").isNotNull(), spaced))
+    named = F.monotonically_increasing_id() >= 0
+    rows = rows.withColumn("__kept", F.when(named & (F.col("__long").isNotNull() | F.col("__lines").isNotNull()), spaced))
     breaks = F.transform("__kept", lambda x, i: F.when(F.contains(x, F.lit("\n")), i + 1))
     rows = rows.withColumn("__breaks", F.when(F.col("__lines").isNotNull(), F.filter(breaks, lambda i: i.isNotNull())))
     whole = F.transform("__lines", lambda n: F.struct(
@@ -182,7 +166,7 @@ def cut_repeats(
     ))
     none = F.array().cast("array<struct<start:int,end:int>>")
     cut = _merged(F.array_sort(F.concat(F.coalesce("__long", none), F.coalesce(_touching(whole), none))))
-    rows = rows.withColumn("__cut", F.when(F.monotonically_increasing_id() >= 0, cut))
+    rows = rows.withColumn("__cut", F.when(named, cut))
     rows = rows.withColumn("__gone", F.aggregate("__cut", F.lit(0), lambda n, r: n + r.end - r.start))
     ends = F.concat(F.array(F.lit(0)), F.transform("__cut", lambda r: r.end))
     starts = F.concat(F.transform("__cut", lambda r: r.start), F.array(F.size("__kept")))

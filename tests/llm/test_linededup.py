@@ -103,6 +103,40 @@ def test_texts_repeat_within_themselves(spark, make_docs):
     assert row["__removed"] == 70 and row.text.split() == text.split()[:79]
 
 
+def test_passages_that_earlier_texts_have_in_part(spark, make_docs):
+    """An excerpt that comes first takes fingerprints of a passage; the passage's later copies go all the same."""
+    rng = random.Random(15)
+    rows = []
+    for i in range(0, 400, 4):
+        passage = prose(rng, rng.randrange(L.LEAST, 71), 10**6).split()
+        for k, n in enumerate((rng.randrange(24, 47), rng.randrange(24, 47), len(passage), len(passage))):
+            at = rng.randrange(len(passage) - n + 1)
+            rows.append((i + k, " ".join([prose(rng, 20, 10**6), *passage[at : at + n], prose(rng, 20, 10**6)])))
+    must = covered([t for _, t in rows], L.LEAST)
+    got = {r.doc_id: r for r in L.cut_repeats(make_docs(rows)).collect()}
+    assert sum(map(any, must)) >= 100
+    for (i, text), sure in zip(rows, must):
+        if i % 4 == 3:
+            assert got[i].text.split() == [w for w, own in zip(text.split(), sure) if not own], i
+
+
+def test_nothing_of_a_long_copy_is_lost(spark, make_docs, odd_rows):
+    rng = random.Random(16)
+    base = [prose(rng, 300, 10**6).split() for _ in range(3)]
+    rows = [(i, t) for i, t in odd_rows if i not in (5, None)]
+    for i in range(80):
+        cuts = []
+        for words in rng.sample(base, 2):
+            at = rng.randrange(250)
+            cuts.append("  ".join(words[at : at + rng.randrange(10, 120)]))
+        rows.append((100 + i, f"{cuts[0]}\n{prose(rng, 5, 10**6)} {cuts[1]}" + rng.choice(["", " \n"])))
+    must, may = covered([t for _, t in rows], L.LEAST), covered([t for _, t in rows], L.LINE)
+    got = {r.doc_id: r for r in L.cut_repeats(make_docs(rows)).collect()}
+    for (i, text), sure, possible in zip(rows, must, may):
+        assert sum(sure) <= got[i]["__removed"] <= sum(possible)
+        assert len((got[i].text or "").split()) == len((text or "").split()) - got[i]["__removed"]
+
+
 def test_sizes_that_leave_gaps_are_refused(spark, make_docs):
     with pytest.raises(ValueError):
         L.cut_repeats(make_docs([(1, "a")]), line=8, window=16)
