@@ -9,8 +9,8 @@ A text's tokens are maximal runs of letters, digits and +/_.=- and single other
 space. Most tokens are plain: letters only, digits only, marks, or short. `Model.certify` computes, from the
 trained weights, the least margin by which O wins at any plain token against the most that transitions could
 gain by another tag. While that margin is positive, O is on the best path of the whole text at every plain
-token, so a text decodes exactly as its stretches around the other tokens (and around words that follow a cue and
-a mark of assignment); only those are decoded. If the margin is not positive, every token is decoded.
+token, so a text decodes exactly as its stretches around the other tokens (and around words that follow a cue
+within NEAR tokens and a mark of assignment); only those are decoded. If the margin is not positive, every token is decoded.
 
 Cases: a null or empty text has no spans; rows that repeat each get their row; further columns are ignored.
 """
@@ -54,8 +54,8 @@ _token = re.compile(r"[\w+/.=-]+|[^\s\w+/.=-]")
 _from_digit = re.compile(r"[0-9][\w+/.=-]*")
 _head = re.compile(r"[\w+/.=-]*\Z")
 _tail = re.compile(r"[\w+/.=-]*")
-#: What makes the words after it worth decoding whatever their shape.
-_cue_assign = re.compile(r"(?:passw(?:or)?d|pwd|secret|token|api_?key)[\"']?\s{0,3}[:=]", re.IGNORECASE | re.ASCII)
+#: A token that ends in a mark of assignment, quotes, and a token of 6 or more characters.
+_assigned = re.compile(r"[:=](?:(?<=:)|(?![\w+/.=-]))(?=(?:\s*[\"'])*\s*([\w+/.=-]{6,}))")
 CUES = frozenset("password passwd pwd secret token apikey api_key key auth authorization bearer credential credentials private access".split())
 NEAR = 4  # tokens before a token that count as its neighbours
 
@@ -68,6 +68,10 @@ FEATURES = (
 _index = {name: i for i, name in enumerate(FEATURES)}
 
 
+def _is_cue(token: str) -> bool:
+    return token.lower().strip("_.=-") in CUES
+
+
 def _is_odd(token: str) -> bool:
     return len(token) >= 8 and any("0" <= c <= "9" for c in token) and any(c.isalpha() for c in token)
 
@@ -122,7 +126,7 @@ def features(tokens: list[str], whole: tuple[int, ...]) -> list[tuple[int, ...]]
     for i, token in enumerate(tokens):
         before = tokens[max(0, i - NEAR) : i]
         own = [*shape(token), *whole]
-        cue = any(t.lower().strip("_.=-") in CUES for t in before)
+        cue = any(map(_is_cue, before))
         last = [t for t in before if t not in "\"'"][-1:]
         assigns = bool(last) and last[0][-1] in ":="
         if _is_odd(token):
@@ -299,7 +303,7 @@ def model() -> Model:
 def crf_spans(text: str, crf: Model) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the field's secrets."""
     odd = _odd_tokens(text)
-    cues = [(m.end(), m.end()) for m in _cue_assign.finditer(text)] if _cue.search(text) else []
+    cues = _after_cues(text)
     if not odd and not cues and crf.margin > 0:
         return []
     whole = whole_features(text, len(odd))
@@ -332,21 +336,36 @@ def crf_spans(text: str, crf: Model) -> list[tuple[int, int, int]]:
     return out
 
 
-def _around(text: str, a: int, b: int) -> tuple[int, int]:
-    """The stretch from NEAR + 1 tokens before the token at a to NEAR tokens after b, on token borders."""
-    a, reach = _border(text, a), 100
+def _after_cues(text: str) -> list[tuple[int, int]]:
+    """Where the tokens are that have the feature of letters after a cue and a mark of assignment, by the rule of features()."""
+    out = []
+    for m in _assigned.finditer(text):
+        near = _before(text, m.start(1), NEAR)
+        if near[0][0] <= m.start() and any(_is_cue(text[a:b]) for a, b in near):
+            out.append(m.span(1))
+    return out
+
+
+def _before(text: str, a: int, n: int) -> list[tuple[int, int]]:
+    """The last n tokens before the token at a, or as many as there are."""
+    reach = 100
     while True:
         begin = _border(text, max(0, a - reach))  # may lie inside a token before
-        cut = [m.start() for m in _token.finditer(text, begin, a)]
-        if len(cut) > NEAR or begin == 0:
-            break
+        found = [m.span() for m in _token.finditer(text, begin, a)]
+        if len(found) >= n or begin == 0:
+            return found[-n:]
         reach *= 4
+
+
+def _around(text: str, a: int, b: int) -> tuple[int, int]:
+    """The stretch from NEAR + 1 tokens before the token at a to NEAR tokens after b, on token borders."""
+    cut = _before(text, _border(text, a), NEAR + 1)
     high = b
     for k, m in enumerate(_token.finditer(text, b)):
         high = m.end()
         if k == NEAR - 1:
             break
-    return cut[-NEAR - 1] if len(cut) > NEAR else 0, high
+    return cut[0][0] if len(cut) > NEAR else 0, high
 
 
 def _border(text: str, i: int) -> int:

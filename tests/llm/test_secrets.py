@@ -68,6 +68,27 @@ def test_stretches_decode_as_the_whole_text():
         assert secrets.crf_spans(text, crf) == secrets.crf_spans(text, whole), text
 
 
+def test_words_after_any_cue_decode_as_in_the_whole_text():
+    crf = secrets.model()
+    whole = secrets.Model(crf.emit, crf.move)
+    whole.margin = -1.0
+    rng = random.Random(5)
+    cues = [*sorted(secrets.CUES), "Authorization", "KEY", "pwd", "key=", "_auth_", "to\u212aen", "my_key", "keys"]
+    bits = [":", "=", " = ", ": ", ":=", '"', "'", " '", "correcthorsebattery", "hunterhunter", "swordfishes", "for", "admin", "the", "(", "ab12cd34ef56", "word-word", "\n", "été", "20240102", "k=v"]
+    decoded = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(cues if rng.random() < 0.2 else bits) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 40)))
+        want = secrets.crf_spans(text, whole)
+        assert secrets.crf_spans(text, crf) == want, text
+        decoded += len(want)
+    assert decoded > 1000
+    for text in ("then Authorization: correcthorsebattery", "the key: hunterhunter", "set auth = swordfishes", "pwd: swordfishes", "password for admin: correcthorse", "bearer = 'swordfishes'"):
+        filled = " ".join(["word"] * 50)
+        text = f"{filled} {text} {filled}"
+        (got,) = secrets.crf_spans(text, crf)
+        assert text[got[0] : got[2]] == text.split(filled)[1].split()[-1].strip("'")
+
+
 def test_field_finds_a_secret_the_detectors_miss():
     text = "and then the key is Zx9Qy8Wv7Ut6Sr5Po4Nm3Lk2, as we said in chapter 12 of the 2019-11-12 report"
     assert brute(text) == []
