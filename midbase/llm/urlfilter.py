@@ -60,15 +60,32 @@ def address(url: Column) -> Column:
     return F.when(host != "", bare)
 
 
+def unescaped(text: Column) -> Column:
+    """text with numeric character references and those of HTML's own marks decoded, once; others stay."""
+    one = r"&(#0*[1-9][0-9]{0,6}|#[xX]0*[1-9a-fA-F][0-9a-fA-F]{0,5}|(?:amp|AMP|lt|LT|gt|GT|quot|QUOT|apos));"
+    named = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+    def mark(e: Column) -> Column:
+        number = F.when(F.lower(e).startswith("#x"), F.conv(F.substr(e, F.lit(3)), 16, 10)).otherwise(F.substr(e, F.lit(2))).try_cast("long")
+        whole = F.startswith(e, F.lit("#")) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        out = F.when(whole, F.decode(F.unhex(F.lpad(F.hex(F.when(whole, number)), 8, "0")), "UTF-32"))
+        for name, char in named.items():
+            out = out.when(F.lower(e) == name, F.lit(char))
+        return out.otherwise(F.concat(F.lit("&"), e, F.lit(";")))
+
+    marks = F.concat(F.transform(F.regexp_extract_all(text, F.lit(one), 1), mark), F.array(F.lit("")))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.zip_with(F.split(text, one), marks, lambda a, b: F.concat(a, b)), "")).otherwise(text)
+
+
 def targets(html: Column) -> Column:
-    """Addresses that a page gives for itself: canonical link, refresh redirect, og:url."""
+    """Addresses that a page gives for itself, without HTML's escapes: canonical link, refresh redirect, og:url."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*\bcanonical\b[^>]*>|<meta\b[^>]*(?:http-equiv\s*=\s*[\"']?refresh|og:url)[^>]*>)"), 1)
     value = lambda t: F.coalesce(
         F.nullif(F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(t, r"(?is)\burl\s*=\s*['\"]?([^\"'\s>;]+)", 1), F.lit("")),
+        F.nullif(F.regexp_extract(t, r"(?is)\burl\s*=\s*['\"]?((?:&#?\w+;|[^\"'\s>;])+)", 1), F.lit("")),
         F.nullif(F.regexp_extract(t, r"(?is)\bcontent\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")),
     )
-    return F.filter(F.transform(tags, value), lambda t: t.isNotNull())
+    return F.transform(F.filter(F.transform(tags, value), lambda t: t.isNotNull()), unescaped)
 
 
 def absolute(target: Column, url: Column) -> Column:

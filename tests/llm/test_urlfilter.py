@@ -47,3 +47,28 @@ def test_rules_and_classes(spark):
 def test_hub(spark):
     rows = [(i, f"http://s{i}.com/", '<link rel="canonical" href="http://hub.example.com/de/">') for i in range(300)]
     assert {r.verdict for r in urlfilter.filter_urls(frame(spark, rows)).collect()} == {"block"}
+
+
+def test_escaped_targets(spark):
+    """In HTML a url's & is written &amp; (or by number); edges go to the url that is meant."""
+    blocked = "https://bad.net/p?a=1&b=2"
+    ways = [
+        '<link rel="canonical" href="https://bad.net/p?a=1&amp;b=2">',
+        "<link rel=canonical href=https://bad.net/p?a=1&#38;b=2>",
+        '<meta property="og:url" content="https:&#x2F;&#47;bad.net/p?a=1&#x26;b=2">',
+        '<meta http-equiv="refresh" content="0; url=https://bad.net/p?a=1&amp;b=2">',
+        '<link rel="canonical" href="https://bad.net/p?a=1&b=2">',
+    ]
+    rows = [(i, f"http://s{i}.com/", html) for i, html in enumerate(ways)]
+    # an alias in a stored page's own query: the class is found by the address alone
+    rows += [(10, "http://h.com/p?a=1&b=2", '<link rel="canonical" href="http://bad.net/q">'), (11, "http://s11.com/", '<link rel="canonical" href="http://h.com/p?a=1&amp;b=2">')]
+    rows += [(20, blocked, ""), (21, "http://s21.com/", '<link rel="canonical" href="http://h.com/p?a=1&amp;amp;b=2">')]
+    got = {r.page_id: r.verdict for r in urlfilter.filter_urls(frame(spark, rows)).collect()}
+    assert got == {i: "allow" if i == 21 else "block" for i in got}
+    texts = ["a&amp;lt;b", "&#38;#38;", "&lt;&gt;&quot;&apos;", "&#233;&#x1F642;&#0;&#xD800;&#9999999;&copy;&", "plain", "", None, "&amp;"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    from pyspark.sql import functions as F
+
+    assert [r.x for r in df.select("i", urlfilter.unescaped(F.col("t")).alias("x")).orderBy("i").collect()] == [
+        "a&lt;b", "&#38;", "<>\"'", "é🙂&#0;&#xD800;&#9999999;&copy;&", "plain", "", None, "&",
+    ]
