@@ -61,13 +61,24 @@ def _overlap(variants: DataFrame, regions: DataFrame, how: str) -> DataFrame:
     """Left semi or anti join on overlap of a variant's reference bases with a region, by (chrom, bin).
 
     A variant is looked up in the first bin of its span and regions in all of theirs plus the one before
-    the first, so spans of up to a bin cannot miss.
+    the first, so spans of up to a bin cannot miss. Longer variants are looked up in all bins of their span; those
+    found, which are whole rows and few, are then told from the others by their chrom, pos and length.
     """
     marked = regions.select(F.col("chrom").alias("__c"), F.col("start").alias("__s"), F.col("end").alias("__e")).filter("__e > __s")
-    marked = binned(marked, F.greatest(F.col("__s") - BIN, F.lit(0)), F.col("__e")).withColumnRenamed("__bin", "__b")
-    begin = F.col("pos") - 1
-    on = (F.col("chrom") == F.col("__c")) & ((begin / BIN).cast("long") == F.col("__b")) & (begin < F.col("__e")) & (begin + F.length("ref") > F.col("__s"))
-    return variants.join(marked, on, how)
+    begin, n = F.col("pos") - 1, F.length("ref")
+    wide = binned(marked, F.greatest(F.col("__s") - BIN, F.lit(0)), F.col("__e")).withColumnRenamed("__bin", "__b")
+    on = (F.col("chrom") == F.col("__c")) & ((begin / BIN).cast("long") == F.col("__b")) & (begin < F.col("__e")) & (begin + n > F.col("__s"))
+    # nulls overlap nothing and stay with the short ones
+    short = variants.filter(F.coalesce(n <= BIN, F.lit(True))).join(wide, on, how)
+    long = variants.filter(n > BIN)
+    spans = long.select(F.col("chrom").alias("__vc"), F.col("pos").alias("__vp"), n.alias("__n")).filter("__vp is not null").distinct()
+    start, end = F.col("__vp") - 1, F.col("__vp") - 1 + F.col("__n")
+    own = binned(marked, F.col("__s"), F.col("__e")).withColumnRenamed("__bin", "__b")
+    hit = binned(spans, F.greatest(start, F.lit(0)), end).join(
+        own, (F.col("__vc") == F.col("__c")) & (F.col("__bin") == F.col("__b")) & (start < F.col("__e")) & (end > F.col("__s")), "left_semi"
+    )
+    hit = hit.select("__vc", "__vp", "__n").distinct()
+    return short.union(long.join(hit, (F.col("chrom") == F.col("__vc")) & (F.col("pos") == F.col("__vp")) & (n == F.col("__n")), how))
 
 
 def intersecting(variants: DataFrame, regions: DataFrame) -> DataFrame:

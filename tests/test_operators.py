@@ -71,6 +71,20 @@ def test_interval_borders(spark):
     assert {(r.chrom, r.pos, r.ref) for r in regions.outside(df, spans).collect()} == set(rows) - inside
 
 
+def test_intervals_of_long_variants(spark):
+    """Reference bases of any length: a region far behind the variant's start is met too, and each row stays one row."""
+    bin_ = regions.BIN
+    spans = spark.createDataFrame([("x", 35_000, 35_100), ("x", 36_000, 90_000), ("x", 200_000, 200_001), ("y", 0, 2)], "chrom string, start long, end long")
+    rows = [("x", p, n) for p in (1, 1, 100, 20_000, 90_000, 90_001, 150_001) for n in (1, bin_, bin_ + 1, 34_999, 35_000, 40_000, 50_000, 50_001)]
+    rows += [("y", 1, 40_000), ("y", 3, 40_000), ("z", 1, 40_000), (None, 1, 40_000), ("x", None, 40_000), ("x", 1, None)]
+    df = spark.createDataFrame([(c, p, n and "A" * n) for c, p, n in rows], "chrom string, pos long, ref string")
+    bounds = [tuple(r) for r in spans.collect()]
+    want = [c is not None and p is not None and n is not None and any(c == k and p - 1 < e and p - 1 + n > s for k, s, e in bounds) for c, p, n in rows]
+    got = lambda d: sorted(((r.chrom, r.pos, r.ref and len(r.ref)) for r in d.collect()), key=str)
+    assert got(regions.intersecting(df, spans)) == sorted((r for r, w in zip(rows, want) if w), key=str)
+    assert got(regions.outside(df, spans)) == sorted((r for r, w in zip(rows, want) if not w), key=str)
+
+
 def test_annotation_split(spark):
     notes = spark.createDataFrame([("chr1", 0, 10, "hor_1"), ("chr1", 20, 30, "ct_2"), ("chr1", 40, 50, "other"), ("chrX", 0, 99, "hor_2")], "chrom string, start long, end long, name string")
     calls = spark.createDataFrame([("CHM13#0#chr1", p, "A") for p in (5, 25, 45, 60)] + [(".", 0, "A"), ("chrX", 5, "A")], "chrom string, pos long, ref string")
