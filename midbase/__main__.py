@@ -20,7 +20,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-w", "--write_info", action="store_true", help="write all hits' positions")
     p.add_argument("-b", "--bed", help="file with one BED path per genome")
     p.add_argument("-r", "--ref", help="reference, one of the inputs (the first by default)")
-    p.add_argument("-o", "--output", required=True, help="folder for the VCF")
+    p.add_argument("-o", "--output", default="-", help="folder for the VCF, - for standard output (the default)")
     p.add_argument("-p", "--pre", type=int, default=10, help="shuffle partitions, as a power of two")
     p.add_argument("-K", "--chunk_size", default="128m", help="most bytes of input a task reads")
     p.add_argument("-t", "--threads", type=int, help="local threads, where no cluster is configured")

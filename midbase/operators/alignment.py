@@ -1,13 +1,17 @@
 """Alignments from genotypes: per-sample strings over loci.
 
-genotype rows: snp_no (file order), sample, gt (text such as 0, 1, 0/1, .), ref, alt (comma-separated).
+Loci are rows (snp_no, ref, alt, gts): snp_no of any type that has an order, alt comma-separated, gts an array of genotype
+texts (0, 1, 0/1, . and so on) with a place for every sample. All tests on a locus are made in its row, without shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: IUPAC codes of base sets.
 IUPAC = {
@@ -15,8 +19,6 @@ IUPAC = {
     "AC": "M", "AG": "R", "AT": "W", "CG": "S", "CT": "Y", "GT": "K",
     "ACG": "V", "ACT": "H", "AGT": "D", "CGT": "B", "ACGT": "N",
 }
-#: Genotype to number of alternative alleles.
-BINARY = {"0/0": "0", "0|0": "0", "0/1": "1", "0|1": "1", "1/0": "1", "1|0": "1", "1/1": "2", "1|1": "2", "./.": "?", ".|.": "?"}
 
 
 def iupac(alleles: Column) -> Column:
@@ -43,39 +45,74 @@ def single_bases(ref: Column, alt: Column) -> Column:
     return (F.length(ref) == 1) & F.forall(F.split(alt, ","), lambda a: F.length(a) == 1)
 
 
+def by_locus(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Loci and sample names of rows (snp_no, sample, gt, ref, alt); a sample without a row at a locus has no call there."""
+    samples = sorted(r[0] for r in rows.select("sample").distinct().collect())
+    own = rows.groupBy("snp_no", "ref", "alt").agg(F.map_from_entries(F.collect_list(F.struct("sample", "gt"))).alias("own"))
+    names = F.array(*(F.lit(x) for x in samples)).cast("array<string>")
+    return own.select("snp_no", "ref", "alt", F.transform(names, lambda x: F.coalesce(F.try_element_at("own", x), F.lit("."))).alias("gts")), samples
+
+
+def n_called(gts: Column) -> Column:
+    return F.size(F.filter(gts, called))
+
+
 def loci(rows: DataFrame, min_samples: int = 4) -> DataFrame:
-    """Rows of loci with at least min(min_samples, samples) called genotypes and single-base alleles only."""
-    locus = Window.partitionBy("snp_no")
-    enough = F.count_if(called(F.col("gt"))).over(locus) >= F.least(F.lit(min_samples), F.count(F.lit(1)).over(locus))
-    return rows.filter(single_bases(F.col("ref"), F.col("alt"))).withColumn("__enough", enough).filter("__enough").drop("__enough")
+    """Loci with at least min(min_samples, samples) called genotypes and single-base alleles only."""
+    enough = n_called(F.col("gts")) >= F.least(F.lit(min_samples), F.size("gts"))
+    return rows.filter(single_bases(F.col("ref"), F.col("alt")) & enough)
 
 
 def bases(rows: DataFrame, resolve: bool = False) -> DataFrame:
-    """rows plus base. Loci with an allele that has no code are left out whole. resolve: one allele of each
+    """Loci plus `bases`, a code per sample. Loci with an allele that has no code are left out whole. resolve: one allele of each
     heterozygote, chosen by a hash of locus and sample, so every run gives the same."""
     nuc = F.concat(F.array(F.translate("ref", "-", "*")), F.transform(F.split("alt", ","), lambda a: F.translate(a, "-", "*")))
-    picks = F.transform(F.split("gt", r"[/|]"), lambda g: F.when(g == ".", "N").otherwise(F.get(nuc, F.expr("0") + F.try_to_number(g, F.lit("999")).cast("int"))))
-    rows = rows.withColumn("__a", F.when(called(F.col("gt")), picks).otherwise(F.array(F.lit("N"))))
-    if resolve:
-        rows = rows.withColumn("__a", F.array(F.get("__a", F.pmod(F.xxhash64("snp_no", "sample"), F.size("__a")).cast("int"))))
-    rows = rows.withColumn("base", iupac(F.array_sort(F.array_distinct("__a")))).drop("__a")
-    whole = F.every(F.col("base").isNotNull()).over(Window.partitionBy("snp_no"))
-    return rows.withColumn("__whole", whole).filter("__whole").drop("__whole")
+    rows = rows.withColumn("__nuc", nuc)
+
+    def code(gt: Column, i: Column) -> Column:
+        number = lambda g: F.try_to_number(g, F.lit("999")).cast("int")
+        picks = F.transform(F.split(gt, r"[/|]"), lambda g: F.when(g == ".", "N").otherwise(F.get("__nuc", number(g))))
+        if resolve:
+            picks = F.slice(picks, F.pmod(F.xxhash64("snp_no", i), F.size(picks)).cast("int") + 1, F.lit(1))
+        return F.when(called(gt), iupac(F.array_sort(F.array_distinct(picks)))).otherwise("N")
+
+    rows = rows.withColumn("bases", F.transform("gts", code)).drop("__nuc")
+    return rows.filter(F.forall("bases", lambda b: b.isNotNull()))
 
 
 def variable(rows: DataFrame) -> DataFrame:
     """Loci at which more than one of A, C, G, T occurs."""
-    kinds = F.size(F.collect_set(F.when(F.col("base").isin("A", "C", "G", "T"), F.col("base"))).over(Window.partitionBy("snp_no")))
-    return rows.withColumn("__n", kinds).filter("__n > 1").drop("__n")
+    return rows.filter(F.size(F.array_distinct(F.filter("bases", lambda b: b.isin("A", "C", "G", "T")))) > 1)
 
 
 def binary(rows: DataFrame) -> DataFrame:
-    """Diploid bi-allelic loci as 0, 1, 2 or ?, in `base`."""
-    code = F.try_element_at(F.create_map(*[F.lit(x) for kv in BINARY.items() for x in kv]), F.substring("gt", 1, 3))
-    return rows.filter(F.length("alt") == 1).withColumn("base", F.coalesce(code, F.lit("?")))
+    """Bi-allelic loci with the number of alternative alleles of each diploid genotype, or ?, as `bases`."""
+
+    def code(gt: Column) -> Column:
+        n = F.substring(gt, 1, 1).try_cast("int") + F.substring(gt, 3, 1).try_cast("int")
+        return F.when(F.rlike(gt, F.lit(r"^[01][/|][01]")), n.cast("string")).otherwise("?")
+
+    return rows.filter(F.length("alt") == 1).withColumn("bases", F.transform("gts", code))
+
+
+def sequences(rows: DataFrame, samples: list[str]) -> DataFrame:
+    """(sample, seq): each sample's bases in locus order.
+
+    Loci are sorted over all tasks; each batch of them is turned into a stretch of every sample's sequence, so what is gathered for
+    a sample are stretches and not single loci.
+    """
+    n = len(samples)
+    kind = rows.schema["snp_no"].dataType.simpleString()
 
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cells = np.frombuffer("".join(batch.column("line").to_pylist()).encode(), "S1").reshape(-1, n)
+                parts = [cells[:, i].tobytes().decode() for i in range(n)]
+                first = batch.column("snp_no").take(pa.array([0] * n))
+                yield pa.RecordBatch.from_arrays([first, pa.array(samples, pa.string()), pa.array(parts, pa.string())], names=["first", "sample", "part"])
 
-def sequences(rows: DataFrame) -> DataFrame:
-    """(sample, seq): each sample's bases in locus order."""
-    ordered = F.array_sort(F.collect_list(F.struct("snp_no", "base")))
-    return rows.groupBy("sample").agg(F.array_join(F.transform(ordered, lambda x: x.base), "").alias("seq"))
+    lines = rows.select("snp_no", F.array_join("bases", "").alias("line")).repartitionByRange("snp_no").sortWithinPartitions("snp_no")
+    parts = lines.mapInArrow(turned, f"first {kind}, sample string, part string")
+    ordered = F.array_sort(F.collect_list(F.struct("first", "part")))
+    return parts.groupBy("sample").agg(F.array_join(F.transform(ordered, lambda x: x.part), "").alias("seq"))

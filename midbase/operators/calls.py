@@ -98,17 +98,27 @@ def statistics(cell: Column) -> dict[str, Column]:
     return {"ac": ac, "an": an, "af": F.when(an > 0, ac / an).otherwise(F.lit(0.0))}
 
 
-def positions(found: DataFrame, site: DataFrame, ref_idx: int, contigs: DataFrame) -> DataFrame:
+def positions(found: DataFrame, site: DataFrame, ref_idx: int, contigs: DataFrame, by_name: bool = False) -> DataFrame:
     """(flanks, genome_idx, contig_idx, pos, contig, strand) of all hits but the reference's anchor; the strand is
-    relative to the anchor's. Long form: positions of repeats are gathered at the sink only."""
+    relative to the anchor's. Long form: positions of repeats are gathered at the sink only.
+
+    by_name: left out are instead the first hits of all genomes on contigs called like one that holds an anchor.
+    """
     rows = found.select("flanks", "genome_idx", "contig_idx", "pos", F.col("fwd").alias("own"))
     rows = rows.join(site.select("flanks", "fwd", "anchor"), "flanks")
+    names = contigs.select("genome_idx", "contig_idx", "contig").distinct()
+    strand = F.when(F.col("own") == F.col("fwd"), "+").otherwise("-").alias("strand")
+    if by_name:
+        rows = rows.join(names, ["genome_idx", "contig_idx"])
+        anchored = names.filter(F.col("genome_idx") == ref_idx).join(site.select(F.col("anchor.contig_idx").alias("contig_idx")).distinct(), "contig_idx", "left_semi")
+        anchored = anchored.select("contig", F.lit(True).alias("known")).distinct()
+        first = found.groupBy("flanks", "genome_idx").agg(F.min(F.struct("contig_idx", "pos")).alias("first"))
+        rows = rows.join(anchored, "contig", "left").join(first, ["flanks", "genome_idx"])
+        leads = (F.col("contig_idx") == F.col("first.contig_idx")) & (F.col("pos") == F.col("first.pos"))
+        return rows.filter(~(leads & F.col("known").isNotNull())).select("flanks", "genome_idx", "contig_idx", "pos", "contig", strand)
     is_anchor = (F.col("genome_idx") == ref_idx) & (F.col("contig_idx") == F.col("anchor.contig_idx")) & (F.col("pos") == F.col("anchor.pos"))
     rows = rows.filter(~F.coalesce(is_anchor, F.lit(False)))
-    names = contigs.select("genome_idx", "contig_idx", "contig").distinct()
-    return rows.join(names, ["genome_idx", "contig_idx"]).select(
-        "flanks", "genome_idx", "contig_idx", "pos", "contig", F.when(F.col("own") == F.col("fwd"), "+").otherwise("-").alias("strand")
-    )
+    return rows.join(names, ["genome_idx", "contig_idx"]).select("flanks", "genome_idx", "contig_idx", "pos", "contig", strand)
 
 
 def call(occ: DataFrame, contigs: DataFrame, snp: DataFrame, n_genomes: int, ref_idx: int, options: CallOptions) -> DataFrame:

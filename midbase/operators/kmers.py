@@ -62,7 +62,8 @@ def encode(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def tiles(contigs: DataFrame, k: int, size: int) -> DataFrame:
-    """Contigs cut into pieces of at most `size` bases that overlap by k - 1, so every window lies in one piece.
+    """Contigs, or parts of them with a `start`, cut into pieces of at most `size` bases that overlap by k - 1, so every window lies in
+    one piece.
 
     Cutting is done on bytes in one pass over each contig; pieces are then spread over tasks.
     """
@@ -75,11 +76,11 @@ def tiles(contigs: DataFrame, k: int, size: int) -> DataFrame:
         held: list[tuple] = []
         bases = 0
         for batch in batches:
-            for g, c, name, seq in zip(*(batch.column(x) for x in names[:4])):
+            for g, c, name, seq, first in zip(*(batch.column(x) for x in names)):
                 raw = seq.as_buffer() if seq.is_valid else pa.py_buffer(b"")
                 for at in range(0, max(raw.size - k + 1, 0), size - k + 1):
                     piece = raw.slice(at, min(size, raw.size - at)).to_pybytes().decode()
-                    held.append((g.as_py(), c.as_py(), name.as_py(), piece, at))
+                    held.append((g.as_py(), c.as_py(), name.as_py(), piece, first.as_py() + at))
                     bases += len(piece)
                     if bases > 4_000_000:
                         yield made(held)
@@ -89,6 +90,7 @@ def tiles(contigs: DataFrame, k: int, size: int) -> DataFrame:
 
     kind = "genome_idx int, contig_idx long, contig string, seq string, start long"
     columns = [F.col("genome_idx").cast("int"), F.col("contig_idx").cast("long"), F.col("contig").cast("string"), F.col("seq")]
+    columns.append((F.col("start") if "start" in contigs.columns else F.lit(0)).cast("long").alias("start"))
     return contigs.select(*columns).mapInArrow(cut, kind).repartition("genome_idx", "contig_idx", "start")
 
 

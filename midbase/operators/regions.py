@@ -1,4 +1,4 @@
-"""Regions: merging, restriction of k-mers, interval semi and anti joins. Half-open, 0-based, as in BED."""
+"""Regions: merging, restriction of contigs, interval semi and anti joins. Half-open, 0-based, as in BED."""
 
 from __future__ import annotations
 
@@ -23,38 +23,22 @@ def binned(rows: DataFrame, start: Column, end: Column) -> DataFrame:
     return rows.withColumn("__bin", F.explode(F.sequence((start / BIN).cast("long"), ((end - 1) / BIN).cast("long"))))
 
 
-def restrict(occ: DataFrame, regions: DataFrame, k: int, contigs: DataFrame) -> DataFrame:
-    """Occurrences whose whole window lies in one merged region of their contig; contigs without regions drop out.
+def pieces(contigs: DataFrame, regions: DataFrame, k: int) -> DataFrame:
+    """The parts of contigs (genome_idx, contig_idx, contig, seq) that lie in their merged regions, with `start`, where each begins in
+    its contig: a k-mer lies in one of them if its whole window lies in one region. Contigs without regions drop out; regions are
+    clamped to the contig, parts of fewer than k bases left out.
 
-    Merged regions are disjoint, so the bin of the centre finds at most one region and no row is doubled.
+    Done before k-mers are encoded, so only bases inside regions are. A contig's regions travel as one array to its row, and are cut
+    out of its bytes, which takes time in proportion to what is cut.
     """
-    half = k // 2
-    named = contigs.select("genome_idx", "contig_idx", "contig").distinct()
-    merged = merge(regions.filter("end > start"), ["genome_idx", "contig"]).join(named, ["genome_idx", "contig"]).drop("contig")
-    merged = binned(merged, F.greatest("start", F.lit(0)), F.col("end"))
-    rows = occ.withColumn("__bin", (F.col("pos") / BIN).cast("long"))
-    rows = rows.join(merged, ["genome_idx", "contig_idx", "__bin"])
-    return rows.filter((F.col("start") <= F.col("pos") - half) & (F.col("pos") + half < F.col("end"))).select(*occ.columns)
-
-
-def mask(contigs: DataFrame, regions: DataFrame) -> DataFrame:
-    """Contigs with all bases outside their merged regions turned to N: keeps long contigs from k-mer extraction early.
-
-    A contig's regions travel as one array in its row; regions are clamped to the contig.
-    """
-    merged = merge(regions.filter("end > start"), ["genome_idx", "contig"])
-    per = merged.groupBy("genome_idx", "contig").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__r"))
-    rows = contigs.join(per, ["genome_idx", "contig"])
-    n = F.length("seq")
-    pieces = F.aggregate(
-        "__r", F.struct(F.lit("").alias("s"), F.lit(0).cast("long").alias("at")),
-        lambda a, r: F.struct(
-            F.concat(a.s, F.repeat(F.lit("N"), (F.least(r.start, n) - a.at).cast("int")), F.substr("seq", (r.start + 1).cast("int"), (F.least(r.end, n) - F.least(r.start, n)).cast("int"))).alias("s"),
-            F.least(r.end, n).cast("long").alias("at"),
-        ),
-    )
-    rows = rows.withColumn("__m", pieces)
-    return rows.withColumn("seq", F.concat("__m.s", F.repeat(F.lit("N"), (n - F.col("__m.at")).cast("int")))).select(*contigs.columns)
+    merged = merge(regions.filter("end > start and end > 0"), ["genome_idx", "contig"])
+    per = merged.groupBy("genome_idx", "contig").agg(F.collect_list(F.struct("start", "end")).alias("__regions"))
+    rows = contigs.join(per, ["genome_idx", "contig"]).withColumn("__bytes", F.encode("seq", "UTF-8"))
+    rows = rows.select("genome_idx", "contig_idx", "contig", "__bytes", F.explode("__regions").alias("r"))
+    start, end = F.greatest("r.start", F.lit(0)), F.least(F.col("r.end"), F.octet_length("__bytes"))
+    rows = rows.select("genome_idx", "contig_idx", "contig", "__bytes", start.cast("long").alias("start"), end.cast("long").alias("end")).filter(F.col("end") - F.col("start") >= k)
+    seq = F.decode(F.substr("__bytes", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), "UTF-8")
+    return rows.select("genome_idx", "contig_idx", "contig", seq.alias("seq"), "start")
 
 
 def _overlap(variants: DataFrame, regions: DataFrame, how: str) -> DataFrame:

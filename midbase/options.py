@@ -12,6 +12,8 @@ class CallOptions:
     filt_type: 2 keeps SNP-mers that occur at most once in every genome, 1 those with one allele in every
     genome, 0 all. positions: collect hit positions of all genomes. saturate: cap allele counts at 8191, as
     fixed-width counters would. single_genome: with one genome, emit every k-mer instead of an error.
+    kpos_by_name: leave out the first hit of every genome on a contig that is called like an anchor's, as tools that tell the
+    reference by contig names do, instead of the reference's anchor alone.
     tile: longest piece of a contig that one row carries through k-mer extraction.
     """
 
@@ -21,6 +23,7 @@ class CallOptions:
     positions: bool = False
     saturate: bool = False
     single_genome: bool = False
+    kpos_by_name: bool = False
     tile: int = 1 << 20
 
     def __post_init__(self) -> None:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,27 +46,29 @@ def call_contigs(
     """Call SNP-mers of contigs (genome_idx, contig_idx, contig, seq), within the regions of `bed` if given.
 
     K-mers are encoded twice, once without places for discovery and once with them for the joins to the SNP-mers: reading
-    is cheaper than keeping every occurrence. tiled: cut contigs into pieces first, for long ones.
+    is cheaper than keeping every occurrence. Regions are cut out of the contigs before that. tiled: cut contigs into pieces first, for long
+    ones.
     """
     options = options or CallOptions()
     if n_genomes == 1 and not options.single_genome:
         raise ValueError("give two genomes or more")
-    pieces = kmers.tiles(contigs, options.k, options.tile) if tiled else contigs
+    pieces = contigs if bed is None else regions.pieces(contigs, bed, options.k)
+    pieces = kmers.tiles(pieces, options.k, options.tile) if tiled else pieces
     full = kmers.occurrences(pieces, options.k)
     slim = kmers.occurrences(pieces, options.k, places=False)
-    if bed is not None:
-        full = regions.restrict(full, bed, options.k, contigs)
-        slim = full.select("genome_idx", "flanks", "center")
     snp = discover.snpmers(slim, n_genomes, options)
     sites = calls.call(full, contigs, snp, n_genomes, ref_idx, options)
-    positions = calls.positions(calls.hits(full, snp), sites, ref_idx, contigs) if options.positions else None
+    positions = calls.positions(calls.hits(full, snp), sites, ref_idx, contigs, options.kpos_by_name) if options.positions else None
     return Result(contigs, full, snp, sites, positions, n_genomes, options)
 
 
 def count(
     spark: SparkSession, paths: list[str], ref: str | None = None, bed_list: str | None = None, output: str | None = None, **options: object
 ) -> Result:
-    """Call SNP-mers of FASTA or FASTQ files, one genome each; write a VCF folder if `output` is given."""
+    """Call SNP-mers of FASTA or FASTQ files, one genome each; write a VCF folder if `output` is given, - being standard output.
+
+    For a folder the lines are staged beside it first, so the caller runs once, however often sorting and the header read them.
+    """
     own = CallOptions(**options)  # type: ignore[arg-type]
     ref_idx = check_genomes(paths, ref, own.single_genome)
     contigs = sequences.read_genomes(spark, paths)
@@ -73,7 +77,22 @@ def count(
     if output:
         named = spark.createDataFrame([(p,) for p in paths], "path string")
         samples = [r[0] for r in named.select(dna.sample_name(F.col("path"))).collect()]
-        lines = result.lines()
-        found = [r[0] for r in lines.filter("chrom <> '.'").select("chrom").distinct().orderBy("chrom").collect()]  # the reference's contigs
-        vcf.write(lines, output, found, samples)
+        if output == "-":
+            lines = result.lines().persist(StorageLevel.DISK_ONLY)
+            vcf.show(lines, reference_contigs(lines), samples)
+            lines.unpersist()
+            return result
+        held = f"{output.rstrip('/')}.lines-{uuid.uuid4().hex}"
+        try:
+            result.lines().write.parquet(held)
+            lines = spark.read.parquet(held)
+            vcf.write(lines, output, reference_contigs(lines), samples)
+        finally:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(held)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return result
+
+
+def reference_contigs(lines: DataFrame) -> list[str]:
+    """Contigs of the reference that hold a site."""
+    return [r[0] for r in lines.filter("chrom <> '.'").select("chrom").distinct().orderBy("chrom").collect()]

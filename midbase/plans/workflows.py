@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import alignment, population, regions
 from ..sources import alignments, vcf
@@ -28,33 +27,31 @@ def split_by_annotation(variants: DataFrame, annotation: DataFrame, prefix: str
     return Split(regions.intersecting(rows, centre), regions.intersecting(rows, near), regions.outside(rows, every))
 
 
-def alignment_of(genotypes: DataFrame, min_samples: int = 4, resolve: bool = False, variable_only: bool = False) -> DataFrame:
-    """(sample, seq) of genotype rows (snp_no, sample, gt, ref, alt)."""
-    rows = alignment.bases(alignment.loci(genotypes, min_samples), resolve)
-    return alignment.sequences(alignment.variable(rows) if variable_only else rows)
+def alignment_of(loci: DataFrame, samples: list[str], min_samples: int = 4, resolve: bool = False, variable_only: bool = False) -> DataFrame:
+    """(sample, seq) of loci (snp_no, ref, alt, gts)."""
+    rows = alignment.bases(alignment.loci(loci, min_samples), resolve)
+    return alignment.sequences(alignment.variable(rows) if variable_only else rows, samples)
 
 
-def numbered_genotypes(rows: DataFrame, samples: list[str]) -> DataFrame:
-    """Genotypes of VCF rows in place order: snp_no is a hash-free rank by (chrom, pos, line).
+def vcf_loci(rows: DataFrame) -> DataFrame:
+    """Loci of VCF rows, in the order of chromosome and place."""
+    place = F.struct("chrom", "pos", "ref", "alt", F.xxhash64("line").alias("line"))
+    return rows.select(place.alias("snp_no"), "ref", "alt", F.transform("cells", lambda c: F.coalesce(c.gt, F.lit("."))).alias("gts"))
 
-    The order is by chromosome windows, so each chromosome is ranked by itself.
-    """
-    place = F.struct(F.col("chrom"), F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "line")).alias("n"))
-    long = rows.select(place.alias("snp_no"), "ref", "alt", F.posexplode("cells").alias("i", "c"))
-    return long.select("snp_no", F.array(*(F.lit(s) for s in samples))[F.col("i")].alias("sample"), "c.gt", "ref", "alt")
 
-
-def write_alignment(spark: SparkSession, vcf_path: str, out: str, forms: tuple[str, ...] = ("phylip",), min_samples: int = 4, outgroup: str = "") -> DataFrame:
-    """Alignments of a VCF as <out>.min<m>.<ending> folders; returns the sequences."""
+def write_alignment(
+    spark: SparkSession, vcf_path: str, out: str, forms: tuple[str, ...] = ("phylip",), min_samples: int = 4, outgroup: str = "", resolve: bool = False
+) -> DataFrame:
+    """Alignments of a VCF as <out>.min<m>.<ending> folders, m being at most the number of samples; returns the sequences."""
     rows, samples = vcf.read(spark, vcf_path)
-    genotypes = numbered_genotypes(rows, samples)
-    found = alignment_of(genotypes, min_samples)
+    loci, least = vcf_loci(rows), min(min_samples, len(samples))
+    found = alignment_of(loci, samples, least, resolve)
     for form in forms:
         if form == "nexus-binary":
-            own = alignment.sequences(alignment.binary(alignment.loci(genotypes, min_samples)))
-            alignments.write(own, f"{out}.min{min_samples}.bin.nexus", "nexus", outgroup, binary=True)
+            own = alignment.sequences(alignment.binary(alignment.loci(loci, least)), samples)
+            alignments.write(own, f"{out}.min{least}.bin.nexus", "nexus", outgroup, binary=True)
         else:
-            alignments.write(found, f"{out}.min{min_samples}.{ {'phylip': 'phy'}.get(form, form) }", form, outgroup)
+            alignments.write(found, f"{out}.min{least}.{ {'phylip': 'phy'}.get(form, form) }", form, outgroup)
     return found
 
 

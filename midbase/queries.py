@@ -133,7 +133,7 @@ def region_restricted_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     contigs = conversation_contigs(spark, sf_dir)
     start = F.col("contig_idx") % 97
     beds = contigs.select("genome_idx", "contig", F.explode(F.array(F.struct(start.alias("start"), (start + 60).alias("end")), F.struct((start + 60).alias("start"), (start + 90).alias("end")), F.struct((start + 200).alias("start"), (start + 300).alias("end")))).alias("r"))
-    occ = regions.restrict(_occurrences(spark, sf_dir), beds.select("genome_idx", "contig", "r.start", "r.end"), K, contigs)
+    occ = kmers.occurrences(regions.pieces(contigs, beds.select("genome_idx", "contig", "r.start", "r.end"), K), K)
     return _longs(occ.select("genome_idx", "contig_idx", "pos", _flanks()))
 
 
@@ -163,24 +163,25 @@ def call_matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_flanks(), *(cell(i).alias(f"g{i}") for i in range(GENOMES)))
 
 
-def _genotype_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _result(spark, sf_dir).sites.select(_flanks().alias("snp_no"), "ref", "alt", F.posexplode("cells").alias("i", "c"))
-    return rows.select("snp_no", F.concat(F.lit("g"), F.col("i").cast("string")).alias("sample"), F.coalesce(F.col("c.gt").cast("string"), F.lit(".")).alias("gt"), "ref", "alt")
+SAMPLES = [f"g{i}" for i in range(GENOMES)]
+
+
+def _loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gts = F.transform("cells", lambda c: F.coalesce(c.gt.cast("string"), F.lit(".")))
+    return _result(spark, sf_dir).sites.select(_flanks().alias("snp_no"), "ref", "alt", gts.alias("gts"))
 
 
 def locus_missing_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = alignment.loci(_genotype_rows(spark, sf_dir), min_samples=6)
-    return rows.groupBy("snp_no").agg(F.count_if(alignment.called(F.col("gt"))).alias("called"))
+    rows = alignment.loci(_loci(spark, sf_dir), min_samples=6)
+    return _longs(rows.select("snp_no", alignment.n_called(F.col("gts")).alias("called")))
 
 
 def alignment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = alignment.bases(alignment.loci(_genotype_rows(spark, sf_dir), min_samples=6))
-    return alignment.sequences(rows)
+    return alignment.sequences(alignment.bases(alignment.loci(_loci(spark, sf_dir), min_samples=6)), SAMPLES)
 
 
 def variable_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = alignment.variable(alignment.bases(alignment.loci(_genotype_rows(spark, sf_dir), min_samples=6)))
-    return rows.select("snp_no").distinct()
+    return alignment.variable(alignment.bases(alignment.loci(_loci(spark, sf_dir), min_samples=6))).select("snp_no")
 
 
 def _kc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,14 +191,18 @@ def _kc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _counts(spark: SparkSession, sf_dir: str) -> population.Matrix:
+    return population.of_cells(_result(spark, sf_dir).sites, list(range(GENOMES)))
+
+
 def jaccard_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = population.jaccard_distance(_kc(spark, sf_dir).withColumn("count", F.col("a2")))
+    rows = population.jaccard_distance(_counts(spark, sf_dir))
     return rows.withColumn("distance", F.round("distance", 9))
 
 
 def _mixed(inner: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return population.mixed_distance(_kc(spark, sf_dir), inner).withColumn("distance", F.round("distance", 6))
+        return population.mixed_distance(_counts(spark, sf_dir), inner).withColumn("distance", F.round("distance", 6))
 
     return run
 

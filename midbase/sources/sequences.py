@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,9 +29,11 @@ def records(lines: Iterator[str]) -> Iterator[tuple[str, str]]:
             while got < want:
                 quality = next(lines, None)
                 if quality is None:
+                    warnings.warn(f"record {name} is cut short", stacklevel=2)
                     return
                 got += len(quality.rstrip("\r\n"))
             if got != want:
+                warnings.warn(f"record {name} has qualities of another length; reading ends there", stacklevel=2)
                 return
             yield name, "".join(seq)
             name, seq = None, []
@@ -39,36 +43,67 @@ def records(lines: Iterator[str]) -> Iterator[tuple[str, str]]:
         yield name, "".join(seq)
 
 
+def first_mark(spark: SparkSession, path: str) -> str:
+    """The first character of a plain or compressed file that is no white space; reads no further."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+    stream = at.getFileSystem(conf).open(at)
+    try:
+        stream = codec.createInputStream(stream) if codec else stream
+        while (mark := stream.read()) >= 0:
+            if not chr(mark).isspace():
+                return chr(mark)
+        return ""
+    finally:
+        stream.close()
+
+
 def read_genomes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Contigs of all inputs; genome_idx is the place in `paths`, contig_idx follows the order in the file.
 
-    Files whose first record starts with '@' are read as FASTQ, the others as FASTA; plain or compressed (by extension).
+    Files whose first record starts with '@' are read as FASTQ, the others as FASTA; plain or compressed (by extension). All
+    FASTA files are one scan, however many there are. A contig is one string of at most 2 GB.
     """
     if "-" in paths:
         raise ValueError("standard input can't be read twice; give a file")
-    frames = None
-    for i, path in enumerate(paths):
-        head = spark.read.text(path).filter(F.trim("value") != "").first()
-        one = read_fastq(spark, path, i) if head and head[0].startswith("@") else read_fasta(spark, path, i)
-        frames = one if frames is None else frames.union(one)
-    return frames
+    marks = [first_mark(spark, p) for p in paths]
+    fasta = [i for i, m in enumerate(marks) if m != "@"]
+    frames = [read_fasta(spark, [paths[i] for i in fasta], fasta)] if fasta else []
+    frames += [read_fastq(spark, paths[i], i) for i, m in enumerate(marks) if m == "@"]
+    return functools.reduce(DataFrame.union, frames)
 
 
-def read_fasta(spark: SparkSession, path: str, genome_idx: int = 0) -> DataFrame:
-    """Contigs of a FASTA file, one row each, by Spark's own record splitting at a newline before '>'.
+def read_fasta(spark: SparkSession, paths: str | list[str], genome_idx: list[int] | None = None) -> DataFrame:
+    """Contigs of FASTA files, one row each, by Spark's own record splitting at a newline before '>'.
 
-    A plain file is read by as many tasks as it has splits; no row is longer than a contig, so files have no size
+    Plain files are read by as many tasks as they have splits; no row is longer than a contig, so files have no size
     limit. Text before the first header is left out.
     """
-    rows = spark.read.text(path, lineSep="\n>").select("value", F.monotonically_increasing_id().alias("contig_idx"), F.col("_metadata.file_block_start").alias("block"))
-    first = (F.col("block") == 0) & (F.col("contig_idx").bitwiseAND(F.lit((1 << 33) - 1)) == 0)
-    rows = rows.filter(~first | F.startswith("value", F.lit(">")))
-    rows = rows.withColumn("value", F.when(first, F.substr("value", F.lit(2))).otherwise(F.col("value")))
-    head = F.substring_index("value", "\n", 1)
-    seq = F.substr("value", F.length(head) + 2)
-    for blank in "\n\r\t ":
-        seq = F.replace(seq, F.lit(blank), F.lit(""))
-    return rows.select(F.lit(genome_idx).alias("genome_idx"), "contig_idx", F.regexp_extract(head, r"^(\S*)", 1).alias("contig"), seq.alias("seq"))
+    paths = [paths] if isinstance(paths, str) else paths
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    whole = [p.getFileSystem(conf).makeQualified(p).toUri().toString() for p in map(jvm.org.apache.hadoop.fs.Path, paths)]
+    bare = lambda uri: uri.replace(":///", ":/", 1)  # noqa: E731  an empty host is written either way
+    number = dict(zip(map(bare, whole), genome_idx or range(len(paths))))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            held: list[tuple[int, int, str, str]] = []
+            for value, n, path, block in zip(*(batch.column(c) for c in ("value", "n", "path", "block"))):
+                text, here = value.as_buffer().to_pybytes(), (path.as_py(), block.as_py())
+                first, last = here != last and here[1] == 0, here
+                if first and not text.startswith(b">"):
+                    continue
+                head, _, seq = text[first:].partition(b"\n")
+                name = re.split(rb"\s", head, maxsplit=1)[0].decode()
+                held.append((number[bare(here[0])], n.as_py(), name, seq.translate(None, b"\n\r\t ").decode()))
+            yield _contigs(held)
+
+    rows = spark.read.text(paths, lineSep="\n>").select(
+        "value", F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")
+    )
+    return rows.mapInArrow(parse, CONTIGS)
 
 
 def read_fastq(spark: SparkSession, path: str, genome_idx: int = 0) -> DataFrame:
@@ -77,24 +112,23 @@ def read_fastq(spark: SparkSession, path: str, genome_idx: int = 0) -> DataFrame
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = (line.as_py() + "\n" for batch in batches for line in batch.column("value"))
-        held: list[tuple[int, str, str]] = []
+        held: list[tuple[int, int, str, str]] = []
         size = 0
         for n, (name, seq) in enumerate(records(lines)):
-            held.append((n, name, seq))
+            held.append((genome_idx, n, name, seq))
             size += len(seq)
             if size > 8_000_000:
-                yield _contigs(held, genome_idx)
+                yield _contigs(held)
                 held, size = [], 0
-        yield _contigs(held, genome_idx)
+        yield _contigs(held)
 
     return spark.read.text(path).coalesce(1).mapInArrow(parse, CONTIGS)
 
 
-def _contigs(rows: list[tuple[int, str, str]], genome_idx: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({
-        "genome_idx": pa.array([genome_idx] * len(rows), pa.int32()), "contig_idx": pa.array([n for n, _, _ in rows], pa.int64()),
-        "contig": pa.array([n for _, n, _ in rows], pa.string()), "seq": pa.array([s for _, _, s in rows], pa.string()),
-    })
+def _contigs(rows: list[tuple[int, int, str, str]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    kinds = {"genome_idx": pa.int32(), "contig_idx": pa.int64(), "contig": pa.string(), "seq": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
 
 
 def write_snpmer_fasta(sites: DataFrame, path: str) -> None:

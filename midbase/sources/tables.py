@@ -21,15 +21,18 @@ def bed_lines(value: Column) -> dict[str, Column]:
 
 def read_bed(spark: SparkSession, path: str, genome_idx: int = 0) -> DataFrame:
     """Regions of a BED file. Comments, blank, track and browser lines are skipped, as are lines without three
-    columns or with end <= start. A missing file is an error."""
+    columns or with end <= start, of which a warning tells the number. A missing file is an error."""
     rows = spark.read.text(path).filter(~F.col("value").rlike(r"^(#|track|browser|\s*$)"))
     rows = rows.select(F.lit(genome_idx).alias("genome_idx"), *(c.alias(n) for n, c in bed_lines(F.col("value")).items()))
-    return rows.filter("start is not null and end is not null and end > start")
+    fit = F.coalesce(F.col("end") > F.col("start"), F.lit(False))
+    if skipped := rows.filter(~fit).count():
+        warnings.warn(f"{path}: {skipped} lines without a region are skipped", stacklevel=2)
+    return rows.filter(fit)
 
 
 def read_bed_list(spark: SparkSession, path: str, n_genomes: int) -> DataFrame | None:
     """Regions of all genomes from a file with one BED path a line; None if it names none (no restriction)."""
-    paths = [r[0].strip() for r in spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\n"))).limit(n_genomes * 4 + 1000).collect() if r[0].strip()]
+    paths = [r[0].strip() for r in spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\n"))).collect() if r[0].strip()]
     if not paths:
         return None
     if len(paths) < n_genomes:

@@ -15,9 +15,9 @@ HEADER = (
     '##INFO=<ID=SNPMER,Number=1,Type=String,Description="SNP-mer around the variant on the + strand">',
     '##FORMAT=<ID=GT,Number=1,Type=String,Description="0=REF allele only, 1=ALT allele only, .=both or neither">',
     '##FORMAT=<ID=KC,Number=2,Type=Integer,Description="K-mer counts of the REF and ALT alleles">',
-    '##INFO=<ID=AC,Number=A,Type=Integer,Description="Allele count in genotypes, for each ALT allele">',
-    '##INFO=<ID=AN,Number=1,Type=Integer,Description="Total number of alleles in called genotypes">',
-    '##INFO=<ID=AF,Number=A,Type=Float,Description="Allele frequency, for each ALT allele">',
+    '##INFO=<ID=AC,Number=A,Type=Integer,Description="Genomes called with the ALT allele">',
+    '##INFO=<ID=AN,Number=1,Type=Integer,Description="Genomes with a call">',
+    '##INFO=<ID=AF,Number=A,Type=Float,Description="AC over AN, 0 without calls">',
 )
 FIXED = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
 
@@ -68,11 +68,19 @@ def write(rows: DataFrame, path: str, contigs: list[str], samples: list[str]) ->
     top.union(body).orderBy("k", "chrom", "pos", "flanks").select("line").write.mode("overwrite").text(path)
 
 
+def show(rows: DataFrame, contigs: list[str], samples: list[str]) -> None:
+    """Print a VCF; lines reach the driver a partition at a time."""
+    for line in header(contigs, samples):
+        print(line)
+    for row in rows.orderBy("chrom", "pos", "flanks").select("line").toLocalIterator():
+        print(row[0])
+
+
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     """(rows, samples): a row per variant with fields, info, and one {gt, a1, a2} per sample found by FORMAT's place of KC."""
     text = spark.read.text(path).withColumnRenamed("value", "line")
     names = text.filter(F.startswith("line", F.lit("#CHROM"))).first()
-    samples = names[0].split("\t")[9:] if names else []
+    samples = [s.replace("./", "") for s in names[0].split("\t")[9:]] if names else []  # some callers put ./ before names
     f = F.split("line", "\t")
     rows = text.filter(~F.startswith("line", F.lit("#")) & (F.col("line") != "")).select("line", f.alias("f"))
     place, own = (F.array_position(F.split(F.col("f")[8], ":"), n).cast("int") for n in ("KC", "GT"))
@@ -109,6 +117,6 @@ def cleaned(rows: DataFrame, prefix: str = "CHM13#0#") -> DataFrame:
 
 
 def sorted_by_place(rows: DataFrame, contigs: list[str]) -> DataFrame:
-    """In the order of the header's contigs, then by position."""
+    """In the order of the header's contigs, then by position; contigs that the header lacks come last, by name."""
     rank = F.array_position(F.array(*(F.lit(c) for c in contigs)), F.col("chrom")) if contigs else F.lit(0)
-    return rows.orderBy(rank, "chrom", "pos")
+    return rows.orderBy(F.nullif(rank, F.lit(0)).asc_nulls_last(), "chrom", "pos")

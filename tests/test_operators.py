@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from midbase.functions import dna
-from midbase.operators import alignment, population, regions, search
+from midbase.operators import alignment, kmers, population, regions, search
 from midbase.plans import workflows
 from midbase.sources import alignments, sequences, tables, vcf
 
@@ -53,13 +53,34 @@ def regions_frame(spark, rows):
     return spark.createDataFrame(rows, "genome_idx int, contig string, start long, end long")
 
 
-def test_merge_and_mask(spark):
-    beds = regions_frame(spark, [(0, "c", 31, 40), (0, "c", 10, 20), (0, "c", 20, 30), (0, "c", 12, 15), (1, "c", 0, 500)])
-    assert sorted(tuple(r)[2:] for r in regions.merge(beds, ["genome_idx", "contig"]).filter("genome_idx = 0").collect()) == [(10, 30), (31, 40)]
-    contigs = spark.createDataFrame([(0, 0, "c", "ACGT" * 9), (1, 0, "c", "ACGT"), (1, 1, "d", "ACGT")], "genome_idx int, contig_idx long, contig string, seq string")
-    masked = {(r.genome_idx, r.contig): r.seq for r in regions.mask(contigs, beds).collect()}
+def test_merge_and_pieces(spark):
+    beds = regions_frame(spark, [(0, "c", 31, 400), (0, "c", 10, 20), (0, "c", 20, 30), (0, "c", 12, 15), (0, "c", -5, 3), (1, "c", 0, 500)])
+    merged = regions.merge(beds, ["genome_idx", "contig"])
+    assert sorted(tuple(r)[2:] for r in merged.filter("genome_idx = 0").collect()) == [(-5, 3), (10, 30), (31, 400)]
     s = "ACGT" * 9
-    assert masked == {(0, "c"): "N" * 10 + s[10:30] + "N" + s[31:], (1, "c"): "ACGT"}
+    contigs = spark.createDataFrame([(0, 0, "c", s), (1, 0, "c", "ACGT"), (1, 1, "d", "ACGT")], "genome_idx int, contig_idx long, contig string, seq string")
+    got = sorted((r.genome_idx, r.contig, r.start, r.seq) for r in regions.pieces(contigs, beds, 4).collect())
+    assert got == [(0, "c", 10, s[10:30]), (0, "c", 31, s[31:]), (1, "c", 0, "ACGT")]
+    whole = {(r.genome_idx, r.pos) for r in kmers.occurrences(contigs, 5).collect()}
+    cut = kmers.tiles(regions.pieces(contigs, beds, 5), 5, 7)
+    assert sorted((r.genome_idx, r.pos) for r in kmers.occurrences(cut, 5).collect()) == sorted(x for x in whole if x[0] == 0 and (12 <= x[1] < 28 or 33 <= x[1] < 34))
+
+
+def test_regions_are_cut_before_encoding(spark):
+    contigs = spark.createDataFrame([(0, 0, "c", "ACGT" * 9)], "genome_idx int, contig_idx long, contig string, seq string")
+    plan = kmers.occurrences(regions.pieces(contigs, regions_frame(spark, [(0, "c", 0, 9)]), 5), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join") and plan.count("Join") == 1
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    for i in range(20):
+        (tmp_path / f"g{i}.fa").write_text(f"{'junk' * (i % 2)}\n>a{i} x\nAC\n>b\nG\n")
+    (tmp_path / "sub dir").mkdir()
+    (tmp_path / "sub dir/z.fa").write_text(">only\nACGT")
+    df = sequences.read_genomes(spark, [f"{tmp_path}/g{i}.fa" for i in range(20)] + [f"{tmp_path}/sub dir/z.fa"])
+    assert df._jdf.queryExecution().executedPlan().toString().count("Scan text") == 1
+    want = [(i, n, s) for i in range(20) for n, s in ((f"a{i}", "AC"), ("b", "G"))] + [(20, "only", "ACGT")]
+    assert [(r.genome_idx, r.contig, r.seq) for r in df.orderBy("genome_idx", "contig_idx").collect()] == want
 
 
 def test_interval_borders(spark):
@@ -102,13 +123,13 @@ def test_alignment(spark):
     rows += [(3, s, g, "T", "-") for s, g in zip("abcd", ["0/1", "1/1", "./.", "0|0"])] + [(4, s, g, "A", "C") for s, g in zip("abcd", ["7", "0", "0", "0"])]
     rows += [(5, s, g, "A", "C") for s, g in zip("abcd", ["1", ".", ".", "."])]
     df = genotypes(spark, rows)
-    found = {r.sample: r.seq for r in workflows.alignment_of(df, min_samples=3).collect()}
+    df, samples = alignment.by_locus(df)
+    found = {r.sample: r.seq for r in workflows.alignment_of(df, samples, min_samples=3).collect()}
     assert found == {"a": "At", "b": "C-", "c": "GN", "d": "NT"}
-    assert {r.seq for r in workflows.alignment_of(df, min_samples=3, variable_only=True).collect()} == {"A", "C", "G", "N"}
-    resolved = [r.base for r in alignment.bases(df.filter("snp_no = 3"), resolve=True).orderBy("sample").collect()]
+    assert {r.seq for r in workflows.alignment_of(df, samples, min_samples=3, variable_only=True).collect()} == {"A", "C", "G", "N"}
+    resolved = alignment.bases(df.filter("snp_no = 3"), resolve=True).first().bases
     assert resolved[0] in "T-" and resolved[1:] == ["-", "N", "T"]
-    two = {r.sample: r.base for r in alignment.binary(df.filter("snp_no = 3")).collect()}
-    assert two == {"a": "1", "b": "2", "c": "?", "d": "0"}
+    assert alignment.binary(df.filter("snp_no = 3")).first().bases == ["1", "2", "?", "0"]
 
 
 @pytest.mark.parametrize("alleles,code", [("A", "A"), ("AC", "M"), ("ACGT", "N"), ("*A", "a"), ("ANT", "w"), ("*CN", None), ("*", "-"), ("N", "N"), ("*N", "n"), ("*ACGNT", "N"), ("ACGNT", None), ("AX", None)])
@@ -148,6 +169,9 @@ def test_distances_and_clusters(spark):
     line = spark.createDataFrame([(i, j, float(abs(x - y))) for i, x in enumerate([0, 1, 5, 6, 20]) for j, y in enumerate([0, 1, 5, 6, 20]) if i < j], "s1 int, s2 int, distance double")
     assert population.ward_clusters(line, range(2, 9)) == {2: {0: 1, 1: 1, 2: 1, 3: 1, 4: 2}, 3: {0: 1, 1: 1, 2: 2, 3: 2, 4: 3}, 4: {0: 1, 1: 1, 2: 2, 3: 3, 4: 4}, 5: {i: i + 1 for i in range(5)}}
     assert population.clusters_at(line, 6.0) == {0: 1, 1: 1, 2: 1, 3: 1, 4: 2}
+    for bad in (flat.limit(2), flat.union(flat.limit(1)), flat.withColumn("distance", -F.col("distance")), flat.withColumn("distance", F.lit(float("nan")))):
+        with pytest.raises(ValueError):
+            population.clusters_at(bad, 0.1)
     same = spark.createDataFrame([("1", "x"), ("1", "x"), ("2", "y")], "a string, b string")
     assert population.mutual_information(same, "a", "b").first()[0] == pytest.approx(1)
     assert population.mutual_information(same.filter("a = '1'"), "a", "b").first()[0] == 1
@@ -157,11 +181,11 @@ def test_sample_tables(spark, tmp_path):
     (tmp_path / "s.tsv").write_text("HG1_pat\t.\tHG1\tM\tAFR\tX\tY\n")
     meta = tables.read_samples(spark, f"{tmp_path}/s.tsv")
     assert meta.first().hap_chrom is None
-    assert column(spark, ["HG1_pat", "HG1_hap2", "A_pri", "B"], population.normalised_sample) == ["HG1_1", "HG1_2", "A_0", "B"]
-    depths = spark.createDataFrame([("HG1_1", "chr1", 2.0)], "sample string, chrom string, depth double")
-    clusters = spark.createDataFrame([("HG1_1", "chr1_tree", 4)], "sample string, kind string, cluster int")
+    assert column(spark, ["HG1_pat", "HG1_hap2", "A_pri", "B", "x_mat.v2_y", "x_"], population.normalised_sample) == ["1", "2", "0", "B", "2.v2", ""]
+    depths = spark.createDataFrame([("1", "chr1", 2.0)], "sample string, chrom string, depth double")
+    clusters = spark.createDataFrame([("1", "chr1_tree", 4)], "sample string, kind string, cluster int")
     row = workflows.sample_table(meta, depths, clusters).first()
-    assert (row.sample_id, row.chr1, row.chr1_tree) == ("HG1_1", 2.0, 4)
+    assert (row.sample_id, row.chr1, row.chr1_tree) == ("1", 2.0, 4)
     names = spark.createDataFrame([("chrX",), ("chr10",), ("chr2",), ("2b",)], "c string")
     assert [r.c for r in names.orderBy(*population.chromosome_order(F.col("c"))).collect()] == ["chr2", "chr10", "2b", "chrX"]
 
@@ -177,6 +201,8 @@ def test_vcf_round_trip_and_workflows(spark, tmp_path):
     assert [tuple(r) for r in vcf.snpmer_rows(rows).collect()] == [("AACGG", "C", "T")]
     assert [r.mer for r in sequences.snpmer_records(vcf.snpmer_rows(rows)).collect()] == ["AACGG", "AATGG"]
     assert vcf.cleaned(rows).count() == 1
+    place = vcf.sorted_by_place(spark.createDataFrame([("a", 2), ("z", 1), ("b", 9), ("b", 3)], "chrom string, pos int"), ["b", "a"])
+    assert [tuple(r) for r in place.collect()] == [("b", 3), ("b", 9), ("a", 2), ("z", 1)]
     found = workflows.write_alignment(spark, f"{tmp_path}/v.vcf.gz", f"{tmp_path}/out", ("phylip", "nexus-binary"), min_samples=-100)
     assert {r.sample: len(r.seq) for r in found.collect()} == {"a": 2, "b": 2, "r": 2}
     assert (tmp_path / "out.min-100.phy").exists() and (tmp_path / "out.min-100.bin.nexus").exists()
@@ -186,8 +212,6 @@ def test_vcf_round_trip_and_workflows(spark, tmp_path):
 
 
 def test_exact_hits(spark):
-    from midbase.operators import kmers
-
     contigs = spark.createDataFrame([(0, 0, "c", "AACGGTTCCGTTA")], "genome_idx int, contig_idx long, contig string, seq string")
     mers = spark.createDataFrame([("AACGG",), ("CCGTT",), ("AAAAC",)], "mer string")
     got = sorted(tuple(r) for r in search.exact_hits(mers, kmers.occurrences(contigs, 5), 5).collect())
@@ -196,7 +220,6 @@ def test_exact_hits(spark):
 
 
 def test_contigs_as_a_stream(spark, tmp_path):
-    from midbase.operators import kmers
     from midbase.streaming import contigs as stream
 
     rows = spark.createDataFrame([(0, 0, "c", "AACGGTTCCA"), (1, 0, "d", "AATGGTTCCA")], "genome_idx int, contig_idx long, contig string, seq string")

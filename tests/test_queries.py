@@ -6,7 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from midbase import queries
+from midbase import file_queries, queries
+
+QUERIES, SQL = queries.queries() | file_queries.queries(), queries.oracle_sql() | file_queries.oracle_sql()
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -23,10 +25,10 @@ def shown(value):
     return f"{value:.9g}" if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    df = queries.queries()[name](spark, FOLDER)
-    found = con.execute(queries.oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    found = con.execute(SQL[name])
     columns = [c[0] for c in found.description]
     assert sorted(columns) == sorted(df.columns)
     want = sorted(tuple(map(shown, r)) for r in found.fetchall())
