@@ -6,14 +6,19 @@ capacity), and a small two-layer classifier learns which parts a vector's neighb
 tell how many of the most probable parts must be probed for the wanted recall.
 
 Search: the classifier puts every vector into its most probable part and routes every query to its
-`probes` most probable parts. Parts are split into blocks of at most BLOCK vectors and BLOCK queries by
-hashes of the ids, so a part that holds a third of all rows (copies of one vector, say) is many tasks; every
-query meets all blocks of its parts. A block keeps the best k per query, so rows grow with the queries.
+`probes` most probable parts. Parts of more than FINE vectors are partitioned once more in the same way, by a classifier
+fitted on a sample of their own, so there are up to 4,096 parts, their number grows with the vectors, and what a query is compared
+with stays about FINE vectors a probe up to some 250 million vectors. Parts are split into blocks of about BLOCK vectors and
+QUERY_BLOCK queries by hashes of the ids, so a part that holds a third of all rows (copies of one vector, say) is many tasks; every
+query meets all blocks of its parts. Blocks of queries are large, so it is the few queries that are sent to several
+blocks and hardly ever a vector. A block keeps the best k per query, so rows grow with the queries.
 Scores are cosines in double precision, summed in one fixed order, so equal vectors get equal scores.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components,
-and rows without an id, take no part; rows that repeat an id are one vector (the smallest); ties go to
-the smaller id; with fewer candidates than k all are returned; further columns are ignored.
+and rows without an id, take no part; very large or small components are fine (vectors are scaled by a power of two first, which
+changes no cosine); rows that repeat an id are one vector (the smallest); ties go to
+the smaller id; with fewer candidates than k all are returned; an empty table has no queries; ids must be whole numbers (an error
+otherwise); further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +31,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from . import common
 
 SAMPLE, HELD_OUT, NEIGHBOURS, HIDDEN = 8192, 512, 10, 128
 MOST_PARTS, ROWS_A_PART = 64, 128
-RECALL = 0.97
-BLOCK = 16_384
+RECALL = 0.985  # of either level, on held-out vectors
+FINE, BLOCK, QUERY_BLOCK = 65_536, 16_384, 65_536
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by the power of two that brings their largest component to between a half and one."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -144,7 +155,7 @@ def _routed(router: Router, dim: int, query: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, dim)
+            x = scaled(batch.column("x").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, dim))
             logits = router.logits(unit(x))
             times = router.probes if query else 1
             part = np.argsort(-logits, axis=1, kind="stable")[:, :times].ravel()
@@ -158,6 +169,49 @@ def _routed(router: Router, dim: int, query: bool):
     return run
 
 
+def _refined(routers: dict[int, Router], query: bool):
+    """Rows of parts that have a router of their own go to their most probable parts there, numbered behind all first parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            take, to = [np.flatnonzero(~np.isin(part, list(routers)))], []
+            to.append(part[take[0]])
+            for p, router in routers.items():
+                if len(own := np.flatnonzero(part == p)):
+                    x = np.frombuffer(b"".join(batch.column("x").take(pa.array(own)).to_pylist()), "<f8").reshape(len(own), -1)
+                    times = router.probes if query else 1
+                    best = np.argsort(-router.logits(unit(x)), axis=1, kind="stable")[:, :times]
+                    take.append(np.repeat(own, times))
+                    to.append((MOST_PARTS * (p + 1) + best).ravel())
+            rows = batch.take(pa.array(np.concatenate(take)))
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("x"), pa.array(np.concatenate(to).astype(np.int32))], names=["id", "x", "part"])
+
+    return run
+
+
+def _fine_routers(index: DataFrame, sizes: dict[int, int], k: int, recall: float, fine: int) -> dict[int, Router]:
+    """A router for each part of more than `fine` vectors, fitted on about SAMPLE of its own. At most MOST_PARTS come to the driver."""
+    large = {p: n for p, n in sizes.items() if n > fine}
+    if not large:
+        return {}
+    share = F.create_map(*[F.lit(v) for p, n in large.items() for v in (p, min(1.0, SAMPLE / n))])
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.try_element_at(share, F.col("part")) * (1 << 20)
+
+    def own(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        r = fit(np.frombuffer(b"".join(rows["x"]), "<f8").reshape(len(rows), -1), k, recall)
+        weights = [w.astype(np.float32) for w in (r.w1, r.b1, r.w2, r.b2)]
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "probes": [r.probes], "w": [[w.tobytes() for w in weights]]})
+
+    models = index.filter(drawn).groupBy("part").applyInPandas(own, "part int, probes int, w array<binary>").collect()
+    out = {}
+    for m in models:
+        w1, b1, w2, b2 = (np.frombuffer(w, np.float32).astype(np.float64) for w in m["w"])
+        out[m["part"]] = Router(w1.reshape(-1, len(b1)), b1, w2.reshape(len(b1), -1), b2, m["probes"])
+    return out
+
+
 def _best(k: int):
     """The k best of a block's vectors for each of its queries, ties to the smaller id."""
 
@@ -183,30 +237,41 @@ def _best(k: int):
     return run
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
+@common.owned
+def search(
+    vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, fine: int = FINE
+) -> DataFrame:
     """The k nearest of each vector whose id is divisible by `every`: query_id, rank, id, score."""
+    if not isinstance(vectors.schema[id_col].dataType, IntegralType):
+        raise ValueError("ids must be whole numbers")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x")).filter("id is not null and size(x) > 0")
-    fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
-    rows = rows.filter(fine)
+    usable = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
+    rows = rows.filter(usable)
     sizes = rows.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
     dim = sizes["dim"] if sizes else 1
     rows = rows.filter(F.size("x") == dim)
     if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
         rows = rows.groupBy("id").agg(F.min("x").alias("x"))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    router = fit(np.array(sample["x"].tolist(), dtype=np.float64).reshape(-1, dim), k, recall)
+    router = fit(scaled(np.array(sample["x"].tolist(), dtype=np.float64).reshape(-1, dim)), k, recall)
     kind = "id long, x binary, part int"
     index = common.staged(rows.mapInArrow(_routed(router, dim, False), kind), "index")
     asked = common.staged(rows.filter(F.col("id") % every == 0).mapInArrow(_routed(router, dim, True), kind), "asked")
 
-    def blocks(df: DataFrame) -> dict[int, int]:  # one row per part
-        return {r["part"]: -(-r["n"] // BLOCK) for r in df.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    def sizes_of(df: DataFrame) -> dict[int, int]:  # one row per part, of which there is a bounded number
+        return {r["part"]: r["n"] for r in df.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    if routers := _fine_routers(index, sizes_of(index), k, recall, fine):
+        coarse = index, asked
+        index, asked = common.staged(index.mapInArrow(_refined(routers, False), kind), "index"), common.staged(asked.mapInArrow(_refined(routers, True), kind), "asked")
+        common.release(*coarse)
 
     def spread(df: DataFrame, own: dict[int, int], other: dict[int, int], mine: str, theirs: str) -> DataFrame:
         count = lambda d: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v).cast("int") for kv in (d or {-1: 1}).items() for v in kv]), F.col("part")), F.lit(1))
         return df.withColumn(mine, F.pmod(F.xxhash64("id"), count(own)).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), count(other) - 1)))
 
-    vb, qb = blocks(index), blocks(asked)
+    vb = {p: -(-n // BLOCK) for p, n in sizes_of(index).items()}
+    qb = {p: -(-n // QUERY_BLOCK) for p, n in sizes_of(asked).items()}
     keys = ["part", "vb", "qb"]
     left = spread(asked, qb, vb, "qb", "vb").groupBy(*keys)
     right = spread(index, vb, qb, "vb", "qb").groupBy(*keys)
@@ -215,5 +280,6 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
 
 
+@common.owned
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(common.table(spark, sf_dir, "embeddings"))

@@ -11,9 +11,9 @@ such bytes.
 
 The digest is verified when written as well: payloads count as equal only if SHA-256, SHA-1 and length agree.
 
-Cases: a null html is an empty payload; pages without an id come after all others (as the
-first holder of a payload they are referred to by null); rows that repeat a page are records of their own, the first
-(by url) of which is the response; an empty table gives an empty archive; further columns are ignored.
+Cases: a null html is an empty payload; a payload is one value, so of 2 GB at most; pages without an id come after all others (as the
+first holder of a payload they are referred to by null); ids must be whole numbers (an error otherwise); rows that repeat a page are records of their own, the first
+(by url) of which is the response; an empty table gives an empty archive; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import common
 
@@ -55,6 +56,8 @@ def _header(response: Column) -> Column:
 
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
     """Write page records to path/headers and path/payloads."""
+    if not isinstance(pages.schema["page_id"].dataType, IntegralType):
+        raise ValueError("ids must be whole numbers")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"sha256": F.sha2("payload", 256), "sha1": base32_sha1(F.col("payload")), "bytes": F.octet_length("payload").cast("long")})
@@ -117,6 +120,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, data[begin:at]
 
 
+@common.owned
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "warc")
     write(common.table(spark, sf_dir, "pages"), path, least=0)

@@ -33,7 +33,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         met = large.join(least, "a")
         small = met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(met.select("a", "m"))
-        now = common.staged(small.distinct(), "edges")
+        last, now = now, common.staged(small.distinct(), "edges")
+        common.release(last)
         before, state = state, _state(now)
         if state == before:
             break

@@ -8,8 +8,12 @@ step of the search is one vector operation; lanes overlap in no end position, so
 
 Cases: a null or empty text has no words, no hits and is clean; a null or empty item, or one without
 an id, has no windows; items that share an id count once; repeated rows each get their row; further
-columns are ignored. Benchmarks of any size are compiled in slices of at most `slice_chars` characters,
-each searched in its own pass, so what is sent to the executors has a fixed bound.
+columns are ignored, whatever their names, or kept where rows are filtered; an empty table of documents stays empty, without
+items all documents are clean. A very long text is searched whole, by one worker, which holds its words' numbers.
+
+Benchmarks of any size are compiled in slices of about SLICE_CHARS bytes, each searched in its own pass over the documents, so
+what is compiled and sent to the executors has a fixed bound; an item longer than that is a slice of its own size. The price
+of a large benchmark are as many passes as it has slices.
 """
 
 from __future__ import annotations
@@ -30,23 +34,27 @@ from . import common
 
 WINDOW = 8
 LANE = 64  # end positions per lane
+#: Benchmark text that is compiled and sent to the executors at a time, and so what bounds both sides' memory (figures in the README).
+SLICE_CHARS = 8_000_000
 
 
 @dataclass
 class Patterns:
-    """One pattern length: shifts by block, buckets by suffix block, the patterns and their items."""
+    """One pattern length: shifts by block; patterns sorted by the key of the block they end with; the items of each, as
+    owners[begin[p] : begin[p + 1]]."""
 
     m: int
     shift: np.ndarray
-    begin: np.ndarray
-    count: np.ndarray
+    keys: np.ndarray
     words: np.ndarray
-    items: list[tuple[str, ...]]
+    begin: np.ndarray
+    owners: np.ndarray
 
 
 @dataclass
 class Compiled:
     vocabulary: dict[bytes, int]
+    items: list[str]
     groups: list[Patterns]
 
 
@@ -55,31 +63,47 @@ def _block(a: np.ndarray, b: np.ndarray, mask: int) -> np.ndarray:
 
 
 def compile_patterns(items: Iterable[tuple[object, str | None]], window: int = WINDOW) -> Compiled:
+    """Tables in arrays throughout; besides the vocabulary nothing takes a Python object a word or window."""
     vocabulary: dict[bytes, int] = {}
-    by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
+    numbers: dict[str, int] = {}
+    by_length: dict[int, tuple[list[np.ndarray], list[int]]] = {}
     for item_id, text in items:
         words = common.fold_words(text)
         if item_id is None or not words:
             continue
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
-        m = min(window, len(ids))
-        for i in range(len(ids) - m + 1):
-            by_length.setdefault(m, {}).setdefault(tuple(ids[i : i + m]), set()).add(str(item_id))
-    return Compiled(vocabulary, [_group(m, found) for m, found in sorted(by_length.items())])
-
-
-def _group(m: int, found: dict[tuple[int, ...], set[str]]) -> Patterns:
-    words = np.array(list(found), dtype=np.int32).reshape(len(found), m)
-    items = [tuple(sorted(x)) for x in found.values()]
-    size = 1 << max(10, (4 * words.size).bit_length())
-    shift = np.full(size, max(1, m - 1), dtype=np.int64)
-    left = np.zeros((len(words), 1), dtype=np.int32) if m == 1 else words[:, :-1]
-    blocks = _block(left, words[:, 0:1] if m == 1 else words[:, 1:], size - 1)
-    for j in range(blocks.shape[1]):  # a block that ends j words in lets the window move on by the rest
-        np.minimum.at(shift, blocks[:, j], blocks.shape[1] - 1 - j)
-    order = np.argsort(blocks[:, -1], kind="stable")
-    count = np.bincount(blocks[:, -1], minlength=size)
-    return Patterns(m, shift, np.cumsum(count) - count, count, words[order], [items[i] for i in order])
+        ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in words), np.int32, len(words))
+        texts, owners = by_length.setdefault(min(window, len(ids)), ([], []))
+        texts.append(ids)
+        owners.append(numbers.setdefault(str(item_id), len(numbers)))
+    return Compiled(vocabulary, list(numbers), [_group(m, *by_length[m]) for m in sorted(by_length)])
+
+
+def _group(m: int, texts: list[np.ndarray], owners: list[int]) -> Patterns:
+    rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(t, m) for t in texts])
+    owner = np.repeat(np.array(owners, np.int32), [len(t) - m + 1 for t in texts])
+    order = np.lexsort((owner, *rows.T[::-1]))
+    rows, owner = rows[order], owner[order]
+    other = np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))
+    pattern = np.cumsum(other) - 1
+    once = other | np.concatenate(([True], owner[1:] != owner[:-1]))  # an item counts once for a pattern
+    words, owner, pattern = rows[other], owner[once], pattern[once]
+    del rows
+    distinct = len(np.unique(words[:, -2].astype(np.int64) << 32 | words[:, -1])) if m > 1 else len(words)
+    mask = (1 << max(10, (8 * distinct).bit_length())) - 1
+    shift = np.full(mask + 1, max(1, m - 1), dtype=np.uint8 if m < 256 else np.int32)
+    last = max(m - 1, 1) - 1  # blocks end at the words 1 to m - 1, at the only word of a pattern of one
+    for j in range(last + 1):  # a block that ends j words in lets the window move on by the rest
+        left, right = (words[:, j], words[:, j + 1]) if m > 1 else (np.zeros(len(words), np.int32), words[:, 0])
+        block = _block(left, right, mask)
+        shift[block] = np.minimum(shift[block], last - j)
+    keys = block.astype(np.int32)
+    order = np.argsort(keys, kind="stable")
+    # the items of the patterns in their new order
+    count = np.bincount(pattern, minlength=len(words))
+    first = np.cumsum(count) - count
+    begin = np.concatenate(([0], np.cumsum(count[order])))
+    at = np.repeat(first[order] - begin[:-1], count[order]) + np.arange(begin[-1])
+    return Patterns(m, shift, keys[order], words[order], begin, owner[at])
 
 
 def search(ids: np.ndarray, g: Patterns) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +123,10 @@ def search(ids: np.ndarray, g: Patterns) -> tuple[np.ndarray, np.ndarray]:
     if not ends:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     at = np.concatenate(ends)
-    block = _block(ids[at - 1] if g.m > 1 else np.zeros(len(at), np.int32), ids[at], mask)
-    first, left = g.begin[block], g.count[block]
+    block = _block(ids[at - 1] if g.m > 1 else np.zeros(len(at), np.int32), ids[at], mask).astype(np.int32)
+    first = np.searchsorted(g.keys, block, "left")
+    left = np.searchsorted(g.keys, block, "right") - first
+    at, first, left = at[left > 0], first[left > 0], left[left > 0]
     found: list[tuple[np.ndarray, np.ndarray]] = []
     rank = 0
     while len(at):
@@ -132,21 +158,21 @@ def hits(texts: list[str | None], compiled: Compiled) -> Iterator[tuple[int, lis
         ids.append(0)
     row = np.array(ids, dtype=np.int32)
     edge = np.zeros(len(row) + 1, dtype=np.int64)
-    items: dict[int, set[str]] = {}
+    items: dict[int, set[int]] = {}
     start = np.array(begins, dtype=np.int64)
     for g in compiled.groups:
         at, pattern = search(row, g)
         np.add.at(edge, at - g.m + 1, 1)
         np.add.at(edge, at + 1, -1)
         for doc, p in zip((np.searchsorted(start, at, "right") - 1).tolist(), pattern.tolist()):
-            items.setdefault(doc, set()).update(g.items[p])
+            items.setdefault(doc, set()).update(g.owners[g.begin[p] : g.begin[p + 1]].tolist())
     covered = np.cumsum(edge)[:-1] > 0
     for doc, (begin, n) in enumerate(zip(begins, sizes)):
         ranges: list[tuple[int, int]] = []
         if doc in items:
             turn = np.flatnonzero(np.diff(np.concatenate(([0], covered[begin : begin + n].view(np.int8), [0]))))
             ranges = list(zip(turn[::2].tolist(), turn[1::2].tolist()))
-        yield n, ranges, items.get(doc, set())
+        yield n, ranges, {compiled.items[i] for i in items.get(doc, ())}
 
 
 def _digest(items: Iterable[str]) -> str:
@@ -206,6 +232,7 @@ def sliced(benchmark: DataFrame, window: int, slice_chars: int) -> list[Callable
     return [partial(compiled, k) for k in range(n)]
 
 
+@common.owned
 def scan_benchmark(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -213,7 +240,7 @@ def scan_benchmark(
     text_col: str = "text",
     min_items: int = 2,
     window: int = WINDOW,
-    slice_chars: int = 16_000_000,
+    slice_chars: int = SLICE_CHARS,
 ) -> DataFrame:
     """One row per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated."""
     slices = sliced(benchmark, window, slice_chars)
@@ -224,11 +251,11 @@ def scan_benchmark(
             f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string",
         )
         return out.withColumn("contaminated", F.col("n_items") >= min_items)
-    keyed = common.row_keyed(docs.select(id_col, text_col), id_col)
+    keyed = common.row_keyed(docs.select(id_col, text_col), id_col, text_col)
     found = None
     for compiled in slices:
-        one = keyed.select("__key", text_col).mapInArrow(
-            _scanner(compiled(), "__key", text_col, False),
+        one = keyed.select("__key", "text").mapInArrow(
+            _scanner(compiled(), "__key", "text", False),
             "__key long, n_words long, ranges array<array<long>>, items array<string>",
         )
         found = one if found is None else found.unionByName(one)
@@ -245,15 +272,16 @@ def scan_benchmark(
     per = found.groupBy("__key").agg(
         F.max("n_words").alias("n_words"), merged.alias("n_hit"), items.alias("items")
     )
-    return keyed.select("__key", id_col).join(per, "__key").select(
-        id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+    return keyed.select("__key", F.col("row").getField(id_col).alias("id")).join(per, "__key").select(
+        F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("items") >= min_items).alias("contaminated"),
     )
 
 
+@common.owned
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_items: int = 2, window: int = WINDOW, slice_chars: int = 16_000_000
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_items: int = 2, window: int = WINDOW, slice_chars: int = SLICE_CHARS
 ) -> DataFrame:
     """The rows of docs that hold windows of fewer than min_items items. Over one slice the texts are judged in
     place; over more, a document's items are counted over all slices and contaminated rows are joined away."""
@@ -261,12 +289,14 @@ def drop_contaminated(
     if len(slices) == 1:
         flagged = F.pandas_udf(_flagger(slices[0](), min_items), "boolean")
         return docs.filter(~flagged(F.col(text_col)))
-    keyed = common.staged(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = scan_benchmark(keyed, benchmark, "__row", text_col, min_items, window, slice_chars)
-    gone = common.staged(found.filter("contaminated").select("__row"), "contaminated")
-    return common.join_sized(keyed, gone, ["__row"], "left_anti").drop("__row")
+    rows = docs.select(F.monotonically_increasing_id().alias("__key"), F.struct("*").alias("row"), F.col(common.quoted(text_col)).alias("text"))
+    keyed = common.staged(rows, "rows")
+    found = scan_benchmark(keyed, benchmark, "__key", "text", min_items, window, slice_chars)
+    gone = common.staged(found.filter("contaminated").select("__key"), "contaminated")
+    return common.join_sized(keyed, gone, ["__key"], "left_anti").select(*common.unpacked(docs.columns))
 
 
+@common.owned
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_benchmark(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 

@@ -10,8 +10,9 @@ least `cover` of the template.
 
 Phrases (the base labels) are templates of a few words and use k = 2; whole notices use k = 5.
 
-Cases: a null or empty text has no words and score 0; rows that repeat both id and text each get their
-row; ids may be null; further columns are ignored.
+Cases: a null or empty text has no words and score 0; a very long text is an array of words in its row, and its matches alone, which
+are few, leave it; labels that tie are sorted by name; rows that repeat both id and text each get their
+row; ids may be null or of any type; an empty table stays empty; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,25 +1,29 @@
 """Line dedup by winnowing and by whole stored lines, in DataFrame functions only.
 
 Stored lines (ended by a newline, with at least one word) are hashed whole, and each but the first of equal ones is
-deleted, however short it is. Repeated passages need another way: for them a line is any LINE consecutive words of a text (a rolling line): repeated passages start and end inside
-the stored, newline-ended lines, whose own hashes would miss them. Of each WINDOW consecutive line hashes the
-smallest is a fingerprint, so two texts that share LINE + WINDOW - 1 words in a row share a fingerprint there.
-Fingerprints only say where to look: around each one that is in two places at least, all lines that start less than
-WINDOW words away are hashed, and each of these but the first of equal ones is a repeated line, whichever text has the
-first. Stretches of at least `least` words that repeated lines make up, overlapping or touching, are deleted; the
-earlier places (smaller id, then smaller position) keep them. As each WINDOW lines of a text have a fingerprint, no
-run of LEAST words that an earlier place has too can be missed, and be it that its lines are first in different
-texts. Words are compared as they stand; white space may differ.
-
-Every deleted run or stored line is a copy of an earlier one. Places are those of the texts as given, so an earlier
-place counts even if it is deleted too: what it holds is then at a place before it. Grouping is by
-partial sums, and the joins to repeated fingerprints and first places have one row per hash on one side, so frequent
-lines are no hot keys. Texts without a repeated fingerprint are read again only for the cut.
-
-Cases: a null text stays null and has no words; texts shorter than a rolling line only have stored lines, blank
-lines are none; of rows that repeat
-id and text the first in row order is kept whole; ids may be null or repeat (rows then count in (id, row)
-order); further columns are kept.
+deleted, however short it is. Repeated passages need another way: for them a line is any LINE consecutive words of a text
+(a rolling line), as passages start and end inside the stored lines, whose own hashes would miss them. Of each WINDOW
+consecutive line hashes the smallest (the first of equal ones) is a fingerprint, so wherever two texts share
+LEAST = LINE + WINDOW - 1 words in a row they share a fingerprint.
+
+Positions of fingerprints that occur more than once are joined, and matches are extended both ways: a fingerprint's
+context are all words that can be in a run of LEAST words with its line, WINDOW - 1 to either side. Where the whole
+context has been at an earlier place it is a repeated run. Contexts are grouped, and only the first of each is looked at
+further: where a fingerprint has contexts that differ, the extension stops inside some of them, so each run of LEAST words
+in these (one a window) is held against all earlier places. Any run of LEAST words is thus either in a context that has
+an earlier equal, or is judged by itself; so precisely the words that lie in a run of LEAST words that an earlier place
+has too are deleted, whichever texts have the earlier places, and nothing else. Texts are compared by their words as they
+stand (96 bits of two hashes over the words' 64-bit hashes); white space may differ.
+
+Places are those of the texts as given, earlier being of smaller id, then smaller position; an earlier place counts even
+if it is deleted too: what it holds is then at a place before it. Grouping is by partial sums, and the joins to repeated
+fingerprints and first places have one row per hash on one side, so frequent lines are no hot keys. Whole texts are
+read once for the fingerprints, once for contexts that differ (texts that have any), and once for the cut.
+
+Cases: a null text stays null and has no words; a text of fewer than LEAST words only has stored lines, blank lines are
+none; very long texts are handled by their words' hashes, 8 bytes a word and array; of rows that repeat id and text the first
+in row order is kept whole; ids may be null, repeat or be of any type that has an order (rows then count in (id, row)
+order); an empty table stays empty; further columns are kept, whatever their names, but one called like `report` is replaced.
 """
 
 from __future__ import annotations
@@ -29,53 +33,56 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LINE = WINDOW = 24  # words a line, lines a window; multiples of 4
+LINE, WINDOW = 16, 32  # words a line (a power of two), lines a window
 LEAST = LINE + WINDOW - 1
-_PLACE = (1 << 29) - 1  # word positions of a text fit into 29 bits
+TINY = 1 << 14  # bytes of a side that is joined to whole texts by broadcast; it grows with the texts, so beyond that both are shuffled
+_SEEN = 8  # neighbours that tell most windows apart in which the smallest line stays the same
+_BLANK = " \t\n\x0b\f\r"  # white space of the regular expressions below
 
 
-#: White space of the regular expressions below.
-_BLANK = " \t\n\x0b\f\r"
+def _words(text: Column) -> Column:
+    """The words between white space; splitting at one character is much faster than at a regular expression."""
+    rare = r"[\t\x0B\f\r]"
+    flat = F.when(F.rlike(text, F.lit(rare)), F.regexp_replace(text, rare, " ")).otherwise(text)
+    return F.array_remove(F.split(F.replace(flat, F.lit("\n"), F.lit(" ")), " "), "")
 
 
-def _words(text: Column) -> Column:
-    return F.split(F.trim(text, F.lit(_BLANK)), r"\s+")
+def _hashed(own: DataFrame, *columns: str) -> DataFrame:
+    return own.select("__key", *columns, F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
 
 
-def fingerprints(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
-    """(fp, __key, pos): the lines at the window minima of docs' (__key, text).
+def fingerprints(own: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
+    """(__key, i, p, fp, c, d): the lines at p that are the smallest of a window, from the window at i on, of texts (__key, text).
 
-    Lines are ordered by the hash of their first two words, which is as good an order as any. Lambdas over arrays are
-    slow, so only the hashes and the minima of four lines are made by them; minima of whole windows are taken in
-    generated code, one row a window, and rows whose minimum is that of the window before go at once. Arrays that a
-    lambda reads are columns of an earlier projection: made inside it they would be made for each element.
+    fp is the line's hash; c and d are of its context. Lambdas over arrays are slow, so they only make the hashes; windows are
+    looked at in generated code, one row each. Arrays that a lambda reads are columns of an earlier projection, to which each is
+    a column that is used twice, or else the optimiser would put their making into the lambda's expression.
     """
-    if line % 4 or window % 4 or not 4 <= window <= line:
-        raise ValueError("line and window must be multiples of four, window at most line")
-    ahead = lambda a, i, steps: [F.get(a, i + j) for j in steps]
-    next_ = lambda a, by, f: F.zip_with(a, F.slice(a, by + 1, F.size(a)), f)  # noqa: E731  null past the end
-    rows = docs.select("__key", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    rows = rows.select("__key", "h", next_("h", 1, lambda x, y: F.xxhash64(x, y)).alias("m"))
-    # hash above, position below: a minimum carries its place, and of equal hashes the first is taken
-    lines = F.slice("m", 1, F.greatest(F.size("m") - line + 1, F.lit(0)))
-    rows = rows.select("__key", "h", F.transform(lines, lambda x, i: x.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))).alias("m"))
-    for by in (1, 2):
-        rows = rows.select("__key", "h", next_("m", by, lambda x, y: F.least(x, y)).alias("m"))
-    rows = rows.select("__key", "h", "m", F.size("m").alias("n"))
-    windows = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0))))
-    rows = rows.select("__key", "h", "m", F.explode(windows).alias("i"))
-    least = lambda i: F.least(*ahead("m", i, range(0, window, 4)))
-    rows = rows.select("__key", "h", "i", least(F.col("i")).alias("now"), F.when(F.col("i") > 0, least(F.col("i") - 1)).alias("last"))
-    rows = rows.filter((F.col("i") == 0) | (F.col("now") != F.col("last")))
-    rows = rows.select("__key", "h", F.col("now").bitwiseAND(F.lit(_PLACE)).cast("int").alias("pos"))
-    return rows.select(F.xxhash64(*ahead("h", F.col("pos"), range(line))).alias("fp"), "__key", "pos")
-
-
-def stored_lines(docs: DataFrame) -> DataFrame:
-    """(h, g, __key, pos): two hashes of each stored line of docs' (__key, text) that has words, and its number among these."""
-    flat = F.regexp_replace("text", r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")
-    rows = docs.select("__key", F.posexplode(F.split(F.trim(flat, F.lit(" \n")), r" ?\n[ \n]*")).alias("pos", "l")).filter("l <> ''")
-    return rows.select(F.xxhash64("l").alias("h"), F.hash("l").alias("g"), "__key", "pos")
+    if line & (line - 1) or line < 2 or window < 2:
+        raise ValueError("line must be a power of two, window at least two")
+    rows = _hashed(own).select("__key", "h", F.col("h").alias("m"))
+    by = 1
+    while by < line:  # hashes of twice as many words: word j of a line enters moved by j bits, which is much faster than hashing anew
+        rows = rows.withColumn("s", F.slice("m", by + 1, F.greatest(F.size("m") - by, F.lit(0))))
+        pairs = F.zip_with("m", "s", lambda x, y: x.bitwiseXOR(F.shiftleft(y, by)))  # noqa: B023
+        rows = rows.select("__key", "h", F.when(F.size("s") >= 0, pairs).alias("m"))
+        by *= 2
+    starts = F.when(F.size("h") >= line + window - 1, F.sequence(F.lit(0), F.size("h") - (line + window - 1)))
+    rows = rows.select("__key", "h", "m", F.explode(starts).alias("i"))
+    at = lambda j: F.get("m", F.col("i") + j)
+    # the smallest line is another than a window before only if the new line is the smallest or the one that left was
+    near = range(min(_SEEN, window - 1))
+    new, old = F.lit(True), F.lit(True)
+    for j in near:
+        new, old = new & (at(window - 1) < at(window - 2 - j)), old & (at(-1) <= at(j))
+    rows = rows.filter((F.col("i") == 0) | new | old)
+    rows = rows.select("__key", "h", "m", "i", F.array_min(F.slice("m", F.col("i") + 1, window)).alias("fp"))
+    rows = rows.filter((F.col("i") == 0) | (F.col("fp") == at(window - 1)) | (at(-1) <= F.col("fp")))
+    place = F.array_position(F.slice("m", F.col("i") + 1, window), F.col("fp")).cast("int")
+    rows = rows.select("__key", "h", "i", (F.col("i") + place - 1).alias("p"), "fp")
+    low = F.greatest(F.col("p") - window + 1, F.lit(0))
+    context = F.slice("h", low + 1, F.col("p") + line + window - 1 - low)
+    return rows.select("__key", "i", "p", "fp", F.xxhash64(F.col("p") - low, context).alias("c"), F.hash(context).alias("d"))
 
 
 def later(found: DataFrame, on: list[str]) -> DataFrame:
@@ -85,18 +92,54 @@ def later(found: DataFrame, on: list[str]) -> DataFrame:
     return found.join(first.hint("merge"), on).filter("__key <> src or pos <> at").select("__key", "pos")
 
 
-def repeated_lines(own: DataFrame) -> DataFrame:
-    """(__key, lines): for texts (__key, text) the numbers of the stored lines that an earlier place has too."""
-    rows = later(common.staged(stored_lines(own), "lines"), ["h", "g"])
-    return rows.groupBy("__key").agg(F.sort_array(F.collect_list("pos")).alias("lines"))
+def runs_at(own: DataFrame, places: DataFrame, line: int, window: int) -> DataFrame:
+    """(w, v, __key, pos): two hashes of the runs of line + window - 1 words of texts (__key, text) that start in places (__key, at),
+    `at` being arrays of {i, p}: starts from i to p."""
+    least = line + window - 1
+    rows = _hashed(common.join_sized(own, places, ["__key"], "inner", TINY), "at")
+    none = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("p"))
+    rows = rows.select("__key", "h", F.explode(F.arrays_zip(F.col("at"), F.concat(F.array(none), F.slice("at", 1, F.size("at") - 1)).alias("last"))).alias("x"))
+    low, high = F.greatest("x.at.i", F.col("x.last.p") + 1), F.least(F.col("x.at.p"), F.size("h") - least)  # each start once
+    rows = rows.select("__key", "h", F.explode(F.when(low <= high, F.sequence(low, high))).alias("pos"))
+    run = F.slice("h", F.col("pos") + 1, least)
+    return rows.select(F.xxhash64(run).alias("w"), F.hash(run).alias("v"), "__key", "pos")
 
 
-def _joined(places: Column, line: int) -> Column:
-    """Runs that lines at sorted places make, where they overlap or touch."""
-    gaps = F.filter(F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda g: g.b - g.a > line)
-    starts = F.concat(F.slice(places, 1, 1), F.transform(gaps, lambda g: g.b))
-    ends = F.concat(F.transform(gaps, lambda g: g.a), F.slice(places, -1, 1))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b + line).alias("end")))
+def repeats(own: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
+    """(__key, runs): for texts (__key, text) the words that lie in runs of line + window - 1 words that an earlier place has too."""
+    least = line + window - 1
+    found = common.staged(fingerprints(own, line, window), "fingerprints")
+    # staged, so that the join below has plain exchanges on both sides and a hot fingerprint can be split
+    often = common.staged(found.groupBy("fp").count().filter("count > 1").select("fp"), "often")
+    near = common.staged(found.join(often.hint("merge"), "fp"), "near")
+    common.release(found, often)
+    same = ["fp", "c", "d"]
+    first = common.staged(near.groupBy(*same).agg(F.min(F.struct("__key", "p", "i")).alias("at"), F.count(F.lit(1)).alias("n")), "contexts")
+    again = near.join(first.filter("n > 1").hint("merge"), same).filter("__key <> at.__key or p <> at.p")
+    again = again.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct(F.greatest(F.col("p") - window + 1, F.lit(0)).alias("start"), (F.col("p") + least).alias("end")))).alias("runs"))
+    again = common.staged(again.select("__key", _joined(F.col("runs")).alias("runs")), "again")
+    common.release(near)
+    differ = common.staged(first.groupBy("fp").count().filter("count > 1").select("fp"), "differ")
+    open_ = first.join(differ.hint("merge"), "fp").select("at.__key", "at.i", "at.p")
+    open_ = common.staged(open_.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("i", "p"))).alias("at")), "open")
+    common.release(first, differ)
+    judged = common.staged(runs_at(own, open_, line, window), "runs")
+    rows = later(judged, ["w", "v"]).groupBy("__key").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    rows = rows.select("__key", _joined(F.transform("at", lambda p: F.struct(p.alias("start"), (p + least).alias("end")))).alias("more"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    both = rows.join(again, "__key", "full").select("__key", _merged(F.array_sort(F.concat(F.coalesce("runs", none), F.coalesce("more", none)))).alias("runs"))
+    out = common.staged(both, "repeats")
+    common.release(again, open_, judged)
+    return out
+
+
+def _joined(runs: Column) -> Column:
+    """Sorted runs, none of which lies inside another, with those that overlap or touch made one, in one pass."""
+    pairs = F.zip_with(runs, F.slice(runs, 2, F.size(runs)), lambda a, b: F.struct(a.end.alias("end"), b.start.alias("start")))
+    gaps = F.filter(pairs, lambda p: p.start > p.end)
+    starts = F.concat(F.transform(F.slice(runs, 1, 1), lambda r: r.start), F.transform(gaps, lambda g: g.start))
+    ends = F.concat(F.transform(gaps, lambda g: g.end), F.transform(F.slice(runs, -1, 1), lambda r: r.end))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
 
 
 def _merged(runs: Column) -> Column:
@@ -110,74 +153,61 @@ def _merged(runs: Column) -> Column:
     return F.aggregate(runs, F.array().cast("array<struct<start:int,end:int>>"), put)
 
 
-def _touching(runs: Column) -> Column:
-    """Sorted runs that do not overlap with those that touch made one, in one pass."""
-    pairs = F.filter(F.zip_with(runs, F.slice(runs, 2, F.size(runs)), lambda a, b: F.struct(a.end.alias("end"), b.start.alias("start"))), lambda p: p.start > p.end)
-    starts = F.concat(F.transform(F.slice(runs, 1, 1), lambda r: r.start), F.transform(pairs, lambda p: p.start))
-    ends = F.concat(F.transform(pairs, lambda p: p.end), F.transform(F.slice(runs, -1, 1), lambda r: r.end))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
-
-
-def lines_around(own: DataFrame, near: DataFrame, line: int, window: int) -> DataFrame:
-    """(fp, __key, pos): all lines of texts (__key, text) that start less than `window` words from one of near's (__key, at), `at` sorted."""
-    rows = common.join_sized(own, near, ["__key"], "inner", 1_000)
-    rows = rows.select("__key", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"), F.arrays_zip("at", F.concat(F.array(F.lit(-window)), "at").alias("last")).alias("at"))
-    rows = rows.select("__key", "h", F.explode("at").alias("p")).filter("p.at is not null")
-    # from behind the lines around the place before, so that each line is made once
-    low = F.greatest(F.col("p.at") - window + 1, F.col("p.last") + window, F.lit(0))
-    high = F.least(F.col("p.at") + window - 1, F.size("h") - line)
-    rows = rows.select("__key", "h", low.alias("low"), high.alias("high")).filter("low <= high")
-    rows = rows.select("__key", "h", F.explode(F.sequence("low", "high")).alias("pos"))
-    return rows.select(F.xxhash64(*(F.get("h", F.col("pos") + j) for j in range(line))).alias("fp"), "__key", "pos")
-
-
-def repeats(own: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
-    """(__key, runs): for texts (__key, text) the runs that lines which an earlier place has too make up."""
-    found = common.staged(fingerprints(own, line, window), "fingerprints")
-    # staged, so that the join below has plain exchanges on both sides and a hot fingerprint can be split
-    often = common.staged(found.groupBy("fp").count().filter("count > 1").select("fp"), "often")
-    near = found.join(often.hint("merge"), "fp").groupBy("__key").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    rows = later(common.staged(lines_around(own, common.staged(near, "near"), line, window), "around"), ["fp"])
-    rows = rows.groupBy("__key").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    return rows.select("__key", _joined(F.col("places"), line).alias("runs"))
-
-
+def repeated_lines(own: DataFrame) -> DataFrame:
+    """(__key, lines): for texts (__key, text) the numbers of the stored lines with words that an earlier place has too. Lines are
+    equal if their text is, white space at the ends and the kind of single blanks aside."""
+    flat = F.when(F.rlike("text", F.lit(r"[\t\x0B\f\r]")), F.regexp_replace("text", r"[\t\x0B\f\r]", " ")).otherwise(F.col("text"))
+    lines = F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = own.select("__key", F.posexplode(lines).alias("pos", "l"))
+    found = common.staged(rows.select(F.xxhash64("l").alias("h"), F.hash("l").alias("g"), "__key", "pos"), "lines")
+    out = later(found, ["h", "g"]).groupBy("__key").agg(F.sort_array(F.collect_list("pos")).alias("lines"))
+    out = common.staged(out, "later-lines")
+    common.release(found)
+    return out
+
+
+@common.owned
 def cut_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line: int = LINE, window: int = WINDOW, least: int = LEAST
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line: int = LINE, window: int = WINDOW, report: str = "__cut"
 ) -> DataFrame:
-    """docs with later repeated runs deleted from the text, plus __removed (words) and __emptied."""
-    keyed = common.row_keyed(docs, id_col)
-    own = keyed.select("__key", F.col(text_col).alias("text"))
-    long = F.filter("runs", lambda r: r.end - r.start >= least)
-    runs = repeats(own, line, window).select("__key", long.alias("__long")).filter(F.size("__long") > 0)
-    lines = repeated_lines(own).withColumnRenamed("lines", "__lines")
-    found = common.staged(runs.join(lines, "__key", "full"), "runs")
-    rows = common.join_sized(keyed, found, ["__key"], "left", 1_000)
+    """docs with later repeated runs deleted from the text, plus `report`: {removed (words), emptied (no word is left of some)}."""
+    keyed = common.row_keyed(docs, id_col, text_col)
+    own = keyed.select("__key", "text")
+    runs, lines = repeats(own, line, window), repeated_lines(own)
+    found = common.staged(runs.join(lines, "__key", "full"), "found")
+    common.release(runs, lines)
+    rows = common.join_sized(keyed.select("__key", "row"), found, ["__key"], "left", TINY)  # the text is in the row, and sent once
+    rows = rows.withColumn("text", F.col("row").getField(text_col).cast("string"))
     # words with the white space after them; what is left are the slices between cuts
-    spaced = F.regexp_extract_all(F.ltrim(text_col, F.lit(_BLANK)), F.lit(r"\S+\s*"), F.lit(0))
+    spaced = F.regexp_extract_all(F.ltrim("text", F.lit(_BLANK)), F.lit(r"\S+\s*"), F.lit(0))
     # the row number is never negative. Naming it keeps the optimiser from moving filters on the result below these projections, where it
     # would put the making of arrays inside the lambdas, and so repeat it for every word they look at
     named = F.monotonically_increasing_id() >= 0
-    rows = rows.withColumn("__kept", F.when(named & (F.col("__long").isNotNull() | F.col("__lines").isNotNull()), spaced))
-    breaks = F.transform("__kept", lambda x, i: F.when(F.contains(x, F.lit("\n")), i + 1))
-    rows = rows.withColumn("__breaks", F.when(F.col("__lines").isNotNull(), F.filter(breaks, lambda i: i.isNotNull())))
-    whole = F.transform("__lines", lambda n: F.struct(
-        F.when(n > 0, F.get("__breaks", n - 1)).otherwise(0).alias("start"), F.coalesce(F.get("__breaks", n), F.size("__kept")).alias("end"),
+    rows = rows.withColumn("kept", F.when(named & (F.col("runs").isNotNull() | F.col("lines").isNotNull()), spaced))
+    breaks = F.transform("kept", lambda x, i: F.when(F.contains(x, F.lit("\n")), i + 1))
+    rows = rows.withColumn("breaks", F.when(F.col("lines").isNotNull(), F.filter(breaks, lambda i: i.isNotNull())))
+    whole = F.transform("lines", lambda n: F.struct(
+        F.when(n > 0, F.get("breaks", n - 1)).otherwise(0).alias("start"), F.coalesce(F.get("breaks", n), F.size("kept")).alias("end"),
     ))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    cut = _merged(F.array_sort(F.concat(F.coalesce("__long", none), F.coalesce(_touching(whole), none))))
-    rows = rows.withColumn("__cut", F.when(named, cut))
-    rows = rows.withColumn("__gone", F.aggregate("__cut", F.lit(0), lambda n, r: n + r.end - r.start))
-    ends = F.concat(F.array(F.lit(0)), F.transform("__cut", lambda r: r.end))
-    starts = F.concat(F.transform("__cut", lambda r: r.start), F.array(F.size("__kept")))
-    left = F.zip_with(ends, starts, lambda a, b: F.array_join(F.slice("__kept", a + 1, F.greatest(b - a, F.lit(0))), ""))
-    text = F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.array_join(left, ""))
+    inside = F.transform("runs", lambda r: F.struct(r.start.alias("start"), F.least(r.end, F.size("kept")).alias("end")))
+    cut = _merged(F.array_sort(F.concat(F.coalesce(inside, none), F.coalesce(_joined(whole), none))))
+    rows = rows.withColumn("cut", F.when(named, cut))
+    rows = rows.withColumn("gone", F.aggregate("cut", F.lit(0), lambda n, r: n + r.end - r.start))
+    ends = F.concat(F.array(F.lit(0)), F.transform("cut", lambda r: r.end))
+    starts = F.concat(F.transform("cut", lambda r: r.start), F.array(F.size("kept")))
+    left = F.zip_with(ends, starts, lambda a, b: F.array_join(F.slice("kept", a + 1, F.greatest(b - a, F.lit(0))), ""))
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(left, ""))
+    names = [c for c in docs.columns if c.lower() != report.lower()]
     return rows.select(
-        *(text.alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.coalesce("__gone", F.lit(0)).cast("long").alias("__removed"), F.coalesce(F.col("__gone") >= F.size("__kept"), F.lit(False)).alias("__emptied"),
-    )
+        *(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names),
+        F.struct(
+            F.coalesce("gone", F.lit(0)).cast("long").alias("removed"), F.coalesce((F.col("gone") > 0) & (F.col("gone") >= F.size("kept")), F.lit(False)).alias("emptied")
+        ).alias(report),
+    )
 
 
+@common.owned
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = cut_repeats(common.table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", F.col("__removed").alias("n_removed"), F.col("__emptied").alias("emptied"), "text")
+    return cut.select("doc_id", F.col("__cut.removed").alias("n_removed"), F.col("__cut.emptied").alias("emptied"), "text")

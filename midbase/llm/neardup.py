@@ -11,7 +11,8 @@
    go; the rest are confirmed on their full sets.
 4. Confirmed links give connected components. Buckets whose classes then lie in several components are
    compared once more in blocks, members of different components only, each pair in the first band that it
-   shares. Pairs that pass the likelihood test are confirmed there on their full sets, the likeliest first,
+   shares: first by their sketches, then those members that may have a link bring their full sets.
+   Pairs that pass the likelihood test are confirmed on these, the likeliest first,
    and a pair whose components have meanwhile been joined is passed over, so a block emits fewer links than
    it has components. So no pair that shares a bucket is left unjudged.
 
@@ -19,8 +20,10 @@ With 40 bands of 5 registers a pair at similarity 0.8 shares no bucket with prob
 
 Cases: a null, empty or wordless text has an empty set, is linked with nothing and stays; a text of
 fewer words than a shingle has its whole word sequence as one shingle; documents with equal sets are
-linked; rows that repeat an id are documents of their own, of which the first stays; rows without an
-id are linked by their sets, but a component is named by its smallest id (null if it has none).
+linked; a very long text is one set, made by one worker in a row of its own, 8 bytes a shingle; rows that repeat an id are documents
+of their own, of which the first stays; rows without an
+id are linked by their sets, but a component is named by its smallest id (null if it has none); ids may be of any type that has an
+order; an empty table stays empty; further columns are ignored, or kept where rows are filtered, whatever their names.
 """
 
 from __future__ import annotations
@@ -171,34 +174,59 @@ def _estimator(threshold: float):
     return run
 
 
+def _judged(rows: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, equal registers): pairs of a bucket's members (or of two of its blocks), sorted by n, that lie in different components,
+    share no earlier band and may be alike by their sketches."""
+    regs, n = _matrix(rows["sketch"]), rows["n"].to_numpy()
+    label, block = rows["label"].to_numpy(), rows["block"].to_numpy()
+    banded = bands(regs)
+    band = int((banded[0] == rows["bucket"].iloc[0]).argmax())
+    two = rows["i"].iloc[0] != rows["j"].iloc[0]
+    xs, ys, es = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, int)]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def judge() -> None:
+        a, b = (np.concatenate(c) for c in zip(*held))
+        keep = likely(regs[a], regs[b], n[a], n[b], threshold)
+        xs.append(a[keep])
+        ys.append(b[keep])
+        es.append((regs[a[keep]] == regs[b[keep]]).sum(axis=1))
+        held.clear()
+
+    for x in range(len(rows) - 1):
+        y = np.arange(x + 1, np.searchsorted(n, n[x] / threshold + 1e-6, "right"))
+        y = y[label[y] != label[x]]
+        if two:
+            y = y[block[y] != block[x]]
+        if band and len(y):
+            y = y[~(banded[y, :band] == banded[x, :band]).any(axis=1)]
+        held.append((np.full(len(y), x), y))
+        if sum(len(v) for _, v in held) > 20_000:
+            judge()
+    if held:
+        judge()
+    return np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
+
+
+def _possible(threshold: float):
+    """(bucket, rep) of the members that may have a link to another component."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["n", "rep"], ignore_index=True)
+        x, y, _ = _judged(rows, threshold)
+        return rows.loc[np.union1d(x, y), ["bucket", "rep"]]
+
+    return run
+
+
 def _across(threshold: float, percent: int):
     """Links of one bucket (or of two of its blocks) between members of different components."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "rep"], ignore_index=True)
-        regs, n = _matrix(rows["sketch"]), rows["n"].to_numpy()
-        label, block, rep = rows["label"].to_numpy(), rows["block"].to_numpy(), rows["rep"].to_numpy()
+        label, rep = rows["label"].to_numpy(), rows["rep"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in rows["s"]]
-        banded = bands(regs)
-        band = int((banded[0] == rows["bucket"].iloc[0]).argmax())
-        two = rows["i"].iloc[0] != rows["j"].iloc[0]
-        xs, ys = [], []
-        for x in range(len(rows) - 1):
-            y = np.arange(x + 1, np.searchsorted(n, n[x] / threshold + 1e-6, "right"))
-            y = y[label[y] != label[x]]
-            if two:
-                y = y[block[y] != block[x]]
-            if band and len(y):
-                y = y[~(banded[y, :band] == banded[x, :band]).any(axis=1)]
-            xs.append(np.full(len(y), x))
-            ys.append(y)
-        x, y = np.concatenate(xs or [np.empty(0, int)]), np.concatenate(ys or [np.empty(0, int)])
-        equal = np.empty(len(x), np.int64)
-        keep = np.empty(len(x), bool)
-        for i in range(0, len(x), 20_000):
-            a, b = x[i : i + 20_000], y[i : i + 20_000]
-            equal[i : i + 20_000] = (regs[a] == regs[b]).sum(axis=1)
-            keep[i : i + 20_000] = likely(regs[a], regs[b], n[a], n[b], threshold)
+        x, y, equal = _judged(rows, threshold)
         now = {k: k for k in label.tolist()}
 
         def root(k: int) -> int:
@@ -208,7 +236,7 @@ def _across(threshold: float, percent: int):
             return k
 
         out = []
-        for i in np.flatnonzero(keep)[np.argsort(-equal[keep], kind="stable")].tolist():
+        for i in np.argsort(-equal, kind="stable").tolist():
             p, q = root(int(label[x[i]])), root(int(label[y[i]]))
             if p != q and _alike(sets[x[i]], sets[y[i]], percent):
                 now[max(p, q)] = min(p, q)
@@ -274,11 +302,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     if percent <= 75:
         raise ValueError("percent must be over 75")
     threshold = percent / 100
-    keyed = common.row_keyed(docs, id_col)
-    texts = keyed.select("__key", F.col(text_col).alias("text"))
+    keyed = common.row_keyed(docs, id_col, text_col)
+    texts = keyed.select("__key", "text")
     kind = docs.schema[id_col].dataType.simpleString()
     made = common.staged(
-        keyed.select("__key", F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        keyed.select("__key", F.col("row").getField(id_col).alias("id"), "text").mapInArrow(
             _sketcher(k), f"__key long, id {kind}, n long, digest binary, sketch binary"
         ), "sketches")
     classes = common.staged(
@@ -306,23 +334,32 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     mixed = open_.filter("rep <> pivot").join(mixed.select("bucket").hint("merge"), "bucket", "left_semi")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mixed = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    mixed = common.staged(mixed.select("bucket", "rep", "label", "blocks", "block"), "mixed")
-    concerned = common.staged(mixed.select(F.col("rep").alias("__key")).distinct(), "concerned")
+    mixed = mixed_rows = common.staged(mixed.select("bucket", "rep", "label", "blocks", "block"), "mixed")
+
+    def blocked(members: DataFrame) -> DataFrame:
+        members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        members = members.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+        # numbered, since these tasks are long for their bytes and should not be put together
+        return members.repartition(_tasks(docs), "bucket", "i", "j")
+
+    # sketches tell which members may have a link in another component; only those bring their sets
+    sketched = blocked(mixed.join(reps.hint("merge"), "rep")).groupBy("bucket", "i", "j")
+    likely_ = common.staged(sketched.applyInPandas(_possible(threshold), "bucket long, rep long").distinct(), "possible")
+    mixed = mixed.join(likely_.hint("merge"), ["bucket", "rep"], "left_semi")
+    concerned = common.staged(likely_.select(F.col("rep").alias("__key")).distinct(), "concerned")
     sets = common.join_sized(texts, concerned, ["__key"], "left_semi").select("__key", "text")
     sets = sets.mapInArrow(_setter(k), "__key long, s binary").withColumnRenamed("__key", "rep")
-    mixed = mixed.join(reps.join(sets.hint("merge"), "rep").hint("merge"), "rep")
-    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mixed = mixed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    # numbered, since these tasks are long for their bytes and should not be put together
-    mixed = mixed.repartition(_tasks(docs), "bucket", "i", "j").groupBy("bucket", "i", "j")
-    more = common.staged(mixed.applyInPandas(_across(threshold, percent), "u long, v long").distinct(), "more")
+    mixed_sets = blocked(mixed.join(reps.join(sets.hint("merge"), "rep").hint("merge"), "rep")).groupBy("bucket", "i", "j")
+    more = common.staged(mixed_sets.applyInPandas(_across(threshold, percent), "u long, v long").distinct(), "more")
     if more.limit(1).count():
         comps = common.staged(components(links.union(more)), "comps")
+    common.release(members, open_, mixed_rows)
     out = made.select("__key", "id", "n", "digest").join(classes, "digest", "left")
     out = out.join(comps.select(F.col("node").alias("rep"), "label"), "rep", "left")
     return keyed, out.select("__key", "id", "n", F.coalesce("label", "rep", "__key").alias("comp"))
 
 
+@common.owned
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (its smallest id reached), kept."""
     _, out = link(docs, id_col, text_col, k, percent)
@@ -333,13 +370,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+@common.owned
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, one of each component: that with the smallest id."""
     keyed, out = link(docs, id_col, text_col, k, percent)
     gone = common.staged(out.filter("__key <> comp").select("__key"), "gone")
-    return common.join_sized(keyed, gone, ["__key"], "left_anti").select(*docs.columns)
+    return common.join_sized(keyed, gone, ["__key"], "left_anti").select(*common.unpacked(docs.columns))
 
 
+@common.owned
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), k=4)
 

@@ -8,13 +8,15 @@ Site evidence: the documents' probabilities are summed by host and path (one gro
 partial sums, so a host that holds a third of all rows is no hot key). A path's rate is shrunk toward its
 host's rate and that toward the global rate; how strongly is estimated from the spread between sites
 (method of moments of a beta-binomial), so sites with few documents stay near the prior. The document
-itself is left out of its own site's sums. A document's posterior log-odds are its own plus the shift of
-its path's rate against the global rate.
+itself is left out of its own path's and host's sums. A document's posterior log-odds are its own plus the shift of
+its path's rate against the global rate. Texts are scored once; scores and the columns to keep are staged.
 
 Cases: a null or empty text is of low quality by rule (nothing to learn from); null hosts and paths are
 sites of their own; labels that repeat an id count once (the smaller values), labels without a value or
 document are ignored; without labels, or with labels of one kind only, that model's evidence is its base
-rate; rows that repeat each get their row.
+rate; rows that repeat each get their row; equal texts of one site get equal posteriors; a very long text is scored whole, by one
+worker, which holds its words; an empty table stays empty; further columns are kept, whatever their names, but one called
+like `report` is replaced. Ids only link labels to texts.
 """
 
 from __future__ import annotations
@@ -198,36 +200,42 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """By host and path: n, the sums and for both kinds the prior that the path's rate is shrunk to and its strength."""
-    kinds = ("low", "toxic")
-    sums = [F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in kinds)]
-    paths = common.staged(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *(F.sum(k).alias(k) for k in kinds)), "paths")
-    hosts = common.staged(paths.groupBy("host").agg(*sums), "hosts")
-    total = hosts.agg(*sums).first()
+KINDS = ("low", "toxic")
+
 
-    def strength(sites: DataFrame, kind: str) -> float:
-        rate = (total[kind] or 0.0) / (total["n"] or 1)
-        spread = sites.filter("n > 1").agg(
-            F.sum(F.col("n") * F.pow(F.col(kind) / F.col("n") - rate, 2)), F.sum("n"), F.count(F.lit(1))
-        ).first()
-        if not spread[1] or rate in (0.0, 1.0):
-            return 10_000.0
-        within = rate * (1 - rate) * spread[2] / spread[1]  # what chance alone would give
-        between = max(spread[0] / spread[1] - within, 1e-9)
-        return float(min(10_000.0, max(1.0, rate * (1 - rate) / between - 1)))
-
-    out = paths
-    up = hosts.select("host", *(F.struct("n", k).alias(f"h_{k}") for k in kinds))
-    out = common.join_sized(out, up, ["host"], "inner", 100_000)
-    for kind in kinds:
-        rate = (total[kind] or 0.0) / (total["n"] or 1)
-        own, above = strength(paths, kind), strength(hosts, kind)
-        host = (F.col(f"h_{kind}.{kind}") + above * rate) / (F.col(f"h_{kind}.n") + above)
-        out = out.withColumn(f"prior_{kind}", host).withColumn(f"strength_{kind}", F.lit(own)).withColumn(f"rate_{kind}", F.lit(rate))
-    return out.drop("h_low", "h_toxic").withColumnsRenamed({"low": "sum_low", "toxic": "sum_toxic"})
+def strength(total: tuple[float, float], spread: tuple[float | None, float | None, int]) -> float:
+    """How many documents a prior counts as: from the spread of sites' rates around the global one beyond what chance gives.
 
+    total: documents and sum of their probabilities; spread: of sites with two documents or more the sum of n times the squared
+    deviation, the sum of n, and their number.
+    """
+    rate = total[1] / total[0] if total[0] else 0.0
+    if not spread[1] or rate in (0.0, 1.0):
+        return 10_000.0
+    within = rate * (1 - rate) * spread[2] / spread[1]
+    between = max(spread[0] / spread[1] - within, 1e-9)
+    return float(min(10_000.0, max(1.0, rate * (1 - rate) / between - 1)))
 
+
+def site_sums(scored: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, float, float]]]:
+    """(host, path, n, low, toxic, host_n, host_low, host_toxic) and by kind the global rate and the strengths of a path's and of a
+    host's prior, from (host, path, low, toxic)."""
+    sums = [F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in KINDS)]
+    paths = common.staged(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *(F.sum(k).alias(k) for k in KINDS)), "paths")
+    hosts = common.staged(paths.groupBy("host").agg(*sums), "hosts")
+    total = hosts.agg(*sums).first()
+    numbers = {}
+    for kind in KINDS:
+        all_ = (total["n"] or 0, total[kind] or 0.0)
+        rate = all_[1] / all_[0] if all_[0] else 0.0
+        deviation = F.sum(F.col("n") * F.pow(F.col(kind) / F.col("n") - rate, 2))
+        own = [strength(all_, tuple(s.filter("n > 1").agg(deviation, F.sum("n"), F.count(F.lit(1))).first())) for s in (paths, hosts)]
+        numbers[kind] = (rate, *own)
+    up = hosts.withColumnsRenamed({c: f"host_{c}" for c in ("n", *KINDS)})
+    return common.join_sized(paths, up, ["host"], "inner"), numbers
+
+
+@common.owned
 def judge(
     docs: DataFrame,
     labels: DataFrame,
@@ -236,8 +244,10 @@ def judge(
     text_col: str = "text",
     sample_rows: int = SAMPLE_ROWS,
     id_col: str = "doc_id",
+    columns: list[str] | None = None,
+    report: str = "__judged",
 ) -> DataFrame:
-    """docs plus `judged`: struct of evidence and posterior for low quality and toxicity, and kept."""
+    """docs (all columns, or those named) plus `report`: struct of evidence and posterior for low quality and toxicity, and kept."""
     evidence = fit(docs, labels, sample_rows, id_col, text_col)
 
     @F.pandas_udf("struct<low double, toxic double>")
@@ -246,29 +256,33 @@ def judge(
         evidence.known.clear()  # the worker lives on and runs other stages
         return found
 
-    site = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(n) for c, n in ((host_col, "host"), (path_col, "path"))]
-    scored = docs.select(*site, score(text_col).alias("p")).select("host", "path", "p.low", "p.toxic")
-    sites = common.staged(site_posteriors(scored), "sites")
-    named = sites.withColumnsRenamed({c: f"__{c}" for c in sites.columns})
-    rows = docs.withColumns({"__host": site[0], "__path": site[1], "__p": score(text_col)})
-    rows = common.join_sized(rows, named, ["__host", "__path"], "left", 100_000)
+    names = [c for c in (columns or docs.columns) if c.lower() != report.lower()]
+    site = [F.coalesce(F.concat(F.lit("s"), F.col(common.quoted(c)).cast("string")), F.lit("")).alias(n) for c, n in ((host_col, "host"), (path_col, "path"))]
+    own = F.struct(*(F.col(common.quoted(c)) for c in names)).alias("row")
+    # texts are scored once: the sums and the result read what is staged here
+    scored = docs.select(*site, score(F.col(common.quoted(text_col)).cast("string")).alias("p"), own)
+    scored = common.staged(scored.select("host", "path", F.col("p.low").alias("p_low"), F.col("p.toxic").alias("p_toxic"), "row"), "scored")
+    sites, numbers = site_sums(scored.select("host", "path", F.col("p_low").alias("low"), F.col("p_toxic").alias("toxic")))
+    sites = common.staged(sites, "sites")
+    rows = common.join_sized(scored, sites, ["host", "path"], "left")
     posterior = {}
-    for kind in ("low", "toxic"):
-        p, strength = F.col(f"__p.{kind}"), F.col(f"__strength_{kind}")
-        rate = (F.col(f"__sum_{kind}") - p + strength * F.col(f"__prior_{kind}")) / (F.col("__n") - 1 + strength)
-        z = _logit(p) + _logit(rate) - _logit(F.col(f"__rate_{kind}"))
+    for kind in KINDS:
+        p, (rate, below, above) = F.col(f"p_{kind}"), numbers[kind]
+        prior = (F.col(f"host_{kind}") - p + above * rate) / (F.col("host_n") - 1 + above)
+        here = (F.col(kind) - p + below * prior) / (F.col("n") - 1 + below)
+        z = _logit(p) + _logit(here) - _logit(F.lit(rate))
         posterior[kind] = F.when(p >= 1.0, 1.0).otherwise(1 / (1 + F.exp(-z)))
     judged = F.struct(
-        F.col("__p.low").alias("p_low"), F.col("__p.toxic").alias("p_toxic"),
-        posterior["low"].alias("low"), posterior["toxic"].alias("toxic"),
+        "p_low", "p_toxic", posterior["low"].alias("low"), posterior["toxic"].alias("toxic"),
         ((posterior["low"] < 0.5) & (posterior["toxic"] < 0.5)).alias("kept"),
     )
-    return rows.select(*(docs[c] for c in docs.columns), judged.alias("__judged"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in names), judged.alias(report))
 
 
+@common.owned
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
-    return judge(docs, labels).select(
+    return judge(docs, labels, columns=["doc_id", "source", "lang"]).select(
         "doc_id", "source", "lang", F.col("__judged.p_low").alias("p_low"), F.col("__judged.p_toxic").alias("p_toxic"),
         F.col("__judged.low").alias("posterior_low"), F.col("__judged.toxic").alias("posterior_toxic"),
         F.col("__judged.kept").alias("kept"),

@@ -12,7 +12,9 @@ gain by another tag. While that margin is positive, O is on the best path of the
 token, so a text decodes exactly as its stretches around the other tokens (and around words that follow a cue
 within NEAR tokens and a mark of assignment); only those are decoded. If the margin is not positive, every token is decoded.
 
-Cases: a null or empty text has no spans; rows that repeat each get their row; further columns are ignored.
+Cases: a null or empty text has no spans; a very long text is scanned whole, by one worker; of equally good tag sequences the one
+with the smaller tag (B, I, O) at the last place where they differ is taken; rows that repeat each get their row; ids may be null or
+of any type; an empty table stays empty; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

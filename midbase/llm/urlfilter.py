@@ -11,8 +11,9 @@ Only pages with edges enter the components; the rest are judged in the scan. Edg
 that a third of all pages redirect to is a hub of the components, not a hot group.
 
 Cases: a null url, or one without ://, has an empty host and path, no rule and no edges; a null html has no
-edges; relative targets are read against the page's host; rows that repeat each get their row; ids play no
-part and may be null; further columns are ignored.
+edges; very long urls and pages are handled whole, in their rows; relative targets are read against the page's host; rules of equal
+length: the one listed first; rows that repeat each get their row; ids play no
+part and may be null or of any type; an empty table stays empty; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -100,6 +101,7 @@ def absolute(target: Column, url: Column) -> Column:
     )
 
 
+@common.owned
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id") -> DataFrame:
     """One row per row of pages: id, host, path, rule, verdict."""
     host, path = host_path(F.col("url"))
@@ -128,6 +130,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("own", taken).alias("verdict"))
 
 
+@common.owned
 def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(common.table(spark, sf_dir, "pages"))
 

@@ -34,6 +34,24 @@ def test_recall_and_exact_scores(spark):
     assert all(v == sorted(v, key=lambda z: (-z[1], z[0])) for v in got.values())
 
 
+def test_two_levels_of_parts(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + 0.5 * rng.normal(size=(3000, 16))).astype(np.float32)
+    x[200:900] = x[3]  # a part that no classifier can cut
+    want = brute(np.arange(3000), x.astype(np.float64))
+    got = {}
+    for r in ann.search(frame(spark, list(range(3000)), x.tolist()), fine=260).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == want.keys()
+    assert np.mean([len(got[q] & {a for a, _ in want[q]}) / 5 for q in want]) >= 0.9
+
+
+def test_components_of_any_size(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1e300, -1e300]), (3, [5e-324, 0.0])]
+    got = [(r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert [a for a, _ in got] == [1, 3, 2] and np.allclose([s for _, s in got], [1, 0.5**0.5, 0])
+
+
 def test_odd_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (50, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (9, []), (None, [1.0, 0.0]), (3, [0.0, 1.0]), (100, [0.0, 2.0])]

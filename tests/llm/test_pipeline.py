@@ -1,7 +1,11 @@
 import random
+from pathlib import Path
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from midbase.llm import common, decontaminate
+from midbase.llm import queries as llm_queries
 
 from .conftest import prose
 
@@ -40,5 +44,34 @@ def test_stages_hand_on_documents(spark, tmp_path):
     compiled = decontaminate.compile_patterns(bench)
     assert set(near) - set(clean) == {i for i, r in near.items() for _, _, x in decontaminate.hits([r.text], compiled) if x} == {62}
     assert {r.doc_id for r in docs.collect()} == set(clean)
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
-    common.clear_staged(spark)
+    # results own their tables: building others, or clearing them, leaves each readable
+    result, other = corpus_pipeline.run(spark, str(tmp_path)), llm_queries.queries()["op7_linededup"](spark, str(tmp_path))
+    again = llm_queries.queries()["op3_decontaminate"](spark, str(tmp_path))
+    common.clear(again)
+    assert other.count() == len(texts) + len(junk) + len(toxic)
+    common.clear(other)
+    assert result.count() == docs.count()
+    paths = list(result._staging.paths)
+    common.clear(result)
+    assert paths and not any(Path(p.removeprefix("file://")).exists() for p in paths)
+
+
+def test_stages_on_odd_rows(spark, tmp_path, make_docs, odd_rows):
+    """Nulls, empty texts, a long text, repeated rows, clashing names, empty tables: each stage by itself."""
+    for name, kind in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    rng = random.Random(4)
+    clean = [(100 + i, prose(rng, 80, 10**6)) for i in range(3)]
+    full, none = (make_docs(rows).withColumns({c: F.col("doc_id") for c in ("__key", "__cut", "__judged", "row", "text_")}) for rows in (odd_rows + clean, []))
+    kept = {"quality classifier": 7 + 3, "line dedup": 10 - 3 + 3, "MinHash near-dedup": 10 - 3 + 3, "benchmark decontamination": 10 + 3}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, full, str(tmp_path))
+        if name in kept:
+            assert out.columns == full.columns
+            rows = out.collect()
+            assert len(rows) == kept[name], (name, len(rows))
+            assert all(r["__key"] == r["__cut"] == r["__judged"] == r["row"] == r.doc_id for r in rows)
+            assert {i for i, _ in clean} <= {r.doc_id for r in rows}
+        else:
+            assert {r.doc_id for r in out.collect()} == {i for i, _ in odd_rows + clean}
+        assert stage(spark, none, str(tmp_path)).count() == 0

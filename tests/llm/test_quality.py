@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from midbase.llm import quality
 
 from .conftest import prose
@@ -47,6 +49,45 @@ def test_bad_sites_pull_their_documents_down(spark, make_docs):
     assert out[151].low > out[151].p_low and out[153].low < out[153].p_low * 1.01
 
 
+def moments(n, x, rate):
+    """The strength of a prior, by hand."""
+    many = n > 1
+    if not many.any() or rate in (0.0, 1.0):
+        return 10_000.0
+    within = rate * (1 - rate) * many.sum() / n[many].sum()
+    between = max((n[many] * (x[many] / n[many] - rate) ** 2).sum() / n[many].sum() - within, 1e-9)
+    return min(10_000.0, max(1.0, rate * (1 - rate) / between - 1))
+
+
+def test_posteriors_against_numpy(spark, make_docs):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randrange(5, 60), 3000) if rng.random() < 0.6 else " ".join(w + "###" for w in prose(rng, 60, 3000).split())) for i in range(250)]
+    labels = spark.createDataFrame([(i, int("#" not in t), 0) for i, t in rows[::3]], "doc_id long, quality int, toxic int")
+    host = lambda i: "only" if i == 7 else f"h{i % 4}" if i % 5 else "hot"
+    docs = make_docs(rows, host).selectExpr("* except (lang)", "'p' || (doc_id % 3) as lang")
+    got = {r.doc_id: r["__judged"] for r in quality.judge(docs, labels).collect()}
+    ids = sorted(got)
+    for kind in ("low", "toxic"):
+        p = np.array([got[i]["p_" + kind] for i in ids])
+        sites = {}
+        for j, i in enumerate(ids):
+            sites.setdefault((host(i), i % 3), []).append(j)
+        hosts = {}
+        for (h, _), js in sites.items():
+            hosts.setdefault(h, []).extend(js)
+        rate = p.mean()
+        below, above = (moments(np.array([len(js) for js in g.values()]), np.array([p[js].sum() for js in g.values()]), rate) for g in (sites, hosts))
+        logit = lambda q: np.log(q / (1 - q))
+        for j, i in enumerate(ids):
+            mine, up = sites[host(i), i % 3], hosts[host(i)]
+            prior = (p[up].sum() - p[j] + above * rate) / (len(up) - 1 + above)
+            here = (p[mine].sum() - p[j] + below * prior) / (len(mine) - 1 + below)
+            z = logit(np.clip(p[j], 1e-9, 1 - 1e-9)) + logit(np.clip(here, 1e-9, 1 - 1e-9)) - logit(np.clip(rate, 1e-9, 1 - 1e-9))
+            assert abs(got[i][kind] - 1 / (1 + np.exp(-z))) < 1e-6
+            if i == 7:  # the only document of its host has the global rate as its prior
+                assert abs(here - rate) < 1e-9
+
+
 def test_without_labels_or_documents(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judge(make_docs([]), none).count() == 0
