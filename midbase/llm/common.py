@@ -120,20 +120,20 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def write(df: DataFrame, path: str, codec: str = "zstd") -> None:
+def write(df: DataFrame, path: str, codec: str = "zstd", dictionary: bool = True) -> None:
     """Write df and free the shuffle files that made it: nothing reads them again. At most PYTHON_ROWS rows go to Python at once, as
-    whole texts are long and both sides hold them."""
+    whole texts are long and both sides hold them. Hashes hardly repeat, so tables of them need no dictionaries."""
     spark, rows = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     fewer = str(min(int(spark.conf.get(rows)), PYTHON_ROWS)) if int(spark.conf.get(rows)) > 0 else str(PYTHON_ROWS)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), setting(spark, rows, fewer):
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
 
 
-def staged(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
+def staged(df: DataFrame, name: str = "t", codec: str = "zstd", dictionary: bool = True) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    write(df, path, codec)
+    write(df, path, codec, dictionary)
     out = spark.read.schema(df.schema).parquet(path)
     object.__setattr__(out, "_path", path)
     return out

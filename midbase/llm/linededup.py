@@ -76,19 +76,22 @@ def fingerprints(own: DataFrame, line: int = LINE, window: int = WINDOW) -> Data
     for j in near:
         new, old = new & (at(window - 1) < at(window - 2 - j)), old & (at(-1) <= at(j))
     rows = rows.filter((F.col("i") == 0) | new | old)
-    rows = rows.select("__key", "h", "m", "i", F.array_min(F.slice("m", F.col("i") + 1, window)).alias("fp"))
+    # each value is the one element of an array exploded, which filters and later projections read instead of making it again
+    one = lambda x: F.explode(F.array(x))
+    rows = rows.select("__key", "h", "m", "i", one(F.slice("m", F.col("i") + 1, window)).alias("w"))
+    rows = rows.select("__key", "h", "m", "i", "w", one(F.array_min("w")).alias("fp"))
     rows = rows.filter((F.col("i") == 0) | (F.col("fp") == at(window - 1)) | (at(-1) <= F.col("fp")))
-    place = F.array_position(F.slice("m", F.col("i") + 1, window), F.col("fp")).cast("int")
+    place = F.array_position("w", F.col("fp")).cast("int")
     rows = rows.select("__key", "h", "i", (F.col("i") + place - 1).alias("p"), "fp")
     low = F.greatest(F.col("p") - window + 1, F.lit(0))
-    context = F.slice("h", low + 1, F.col("p") + line + window - 1 - low)
-    return rows.select("__key", "i", "p", "fp", F.xxhash64(F.col("p") - low, context).alias("c"), F.hash(context).alias("d"))
+    rows = rows.select("__key", "i", "p", "fp", (F.col("p") - low).alias("o"), one(F.slice("h", low + 1, F.col("p") + line + window - 1 - low)).alias("x"))
+    return rows.select("__key", "i", "p", "fp", F.xxhash64("o", "x").alias("c"), F.hash("x").alias("d"))
 
 
 def later(found: DataFrame, on: list[str]) -> DataFrame:
     """(__key, pos) of the rows of the staged table found (on, __key, pos) but the first of those equal in `on`."""
     first = found.groupBy(*on).agg(F.min(F.struct("__key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = common.staged(first.select(*on, F.col("first.__key").alias("src"), F.col("first.pos").alias("at")), "first")
+    first = common.staged(first.select(*on, F.col("first.__key").alias("src"), F.col("first.pos").alias("at")), "first", dictionary=False)
     return found.join(first.hint("merge"), on).filter("__key <> src or pos <> at").select("__key", "pos")
 
 
@@ -108,13 +111,13 @@ def runs_at(own: DataFrame, places: DataFrame, line: int, window: int) -> DataFr
 def repeats(own: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
     """(__key, runs): for texts (__key, text) the words that lie in runs of line + window - 1 words that an earlier place has too."""
     least = line + window - 1
-    found = common.staged(fingerprints(own, line, window), "fingerprints")
+    found = common.staged(fingerprints(own, line, window), "fingerprints", dictionary=False)
     # staged, so that the join below has plain exchanges on both sides and a hot fingerprint can be split
-    often = common.staged(found.groupBy("fp").count().filter("count > 1").select("fp"), "often")
-    near = common.staged(found.join(often.hint("merge"), "fp"), "near")
+    often = common.staged(found.groupBy("fp").count().filter("count > 1").select("fp"), "often", dictionary=False)
+    near = common.staged(found.join(often.hint("merge"), "fp"), "near", dictionary=False)
     common.release(found, often)
     same = ["fp", "c", "d"]
-    first = common.staged(near.groupBy(*same).agg(F.min(F.struct("__key", "p", "i")).alias("at"), F.count(F.lit(1)).alias("n")), "contexts")
+    first = common.staged(near.groupBy(*same).agg(F.min(F.struct("__key", "p", "i")).alias("at"), F.count(F.lit(1)).alias("n")), "contexts", dictionary=False)
     again = near.join(first.filter("n > 1").hint("merge"), same).filter("__key <> at.__key or p <> at.p")
     again = again.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct(F.greatest(F.col("p") - window + 1, F.lit(0)).alias("start"), (F.col("p") + least).alias("end")))).alias("runs"))
     again = common.staged(again.select("__key", _joined(F.col("runs")).alias("runs")), "again")
@@ -123,7 +126,7 @@ def repeats(own: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame
     open_ = first.join(differ.hint("merge"), "fp").select("at.__key", "at.i", "at.p")
     open_ = common.staged(open_.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("i", "p"))).alias("at")), "open")
     common.release(first, differ)
-    judged = common.staged(runs_at(own, open_, line, window), "runs")
+    judged = common.staged(runs_at(own, open_, line, window), "runs", dictionary=False)
     rows = later(judged, ["w", "v"]).groupBy("__key").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     rows = rows.select("__key", _joined(F.transform("at", lambda p: F.struct(p.alias("start"), (p + least).alias("end")))).alias("more"))
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -159,7 +162,7 @@ def repeated_lines(own: DataFrame) -> DataFrame:
     flat = F.when(F.rlike("text", F.lit(r"[\t\x0B\f\r]")), F.regexp_replace("text", r"[\t\x0B\f\r]", " ")).otherwise(F.col("text"))
     lines = F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = own.select("__key", F.posexplode(lines).alias("pos", "l"))
-    found = common.staged(rows.select(F.xxhash64("l").alias("h"), F.hash("l").alias("g"), "__key", "pos"), "lines")
+    found = common.staged(rows.select(F.xxhash64("l").alias("h"), F.hash("l").alias("g"), "__key", "pos"), "lines", dictionary=False)
     out = later(found, ["h", "g"]).groupBy("__key").agg(F.sort_array(F.collect_list("pos")).alias("lines"))
     out = common.staged(out, "later-lines")
     common.release(found)
@@ -178,17 +181,18 @@ def cut_repeats(
     common.release(runs, lines)
     rows = common.join_sized(keyed.select("__key", "row"), found, ["__key"], "left", TINY)  # the text is in the row, and sent once
     rows = rows.withColumn("text", F.col("row").getField(text_col).cast("string"))
-    # words with the white space after them; what is left are the slices between cuts
-    spaced = F.regexp_extract_all(F.ltrim("text", F.lit(_BLANK)), F.lit(r"\S+\s*"), F.lit(0))
+    # words, or where only stored lines go these, with the white space after them; what is left are the slices between cuts
+    spaced = lambda unit: F.regexp_extract_all(F.ltrim("text", F.lit(_BLANK)), F.lit(unit), F.lit(0))
     # the row number is never negative. Naming it keeps the optimiser from moving filters on the result below these projections, where it
     # would put the making of arrays inside the lambdas, and so repeat it for every word they look at
     named = F.monotonically_increasing_id() >= 0
-    rows = rows.withColumn("kept", F.when(named & (F.col("runs").isNotNull() | F.col("lines").isNotNull()), spaced))
+    by_line = F.col("runs").isNull() & F.col("lines").isNotNull()
+    rows = rows.withColumn("kept", F.when(named & by_line, spaced(r"\S[^\n]*(?:\n\s*)?")).when(named & F.col("runs").isNotNull(), spaced(r"\S+\s*")))
     breaks = F.transform("kept", lambda x, i: F.when(F.contains(x, F.lit("\n")), i + 1))
-    rows = rows.withColumn("breaks", F.when(F.col("lines").isNotNull(), F.filter(breaks, lambda i: i.isNotNull())))
-    whole = F.transform("lines", lambda n: F.struct(
+    rows = rows.withColumn("breaks", F.when(F.col("runs").isNotNull() & F.col("lines").isNotNull(), F.filter(breaks, lambda i: i.isNotNull())))
+    whole = F.when(by_line, F.transform("lines", lambda n: F.struct(n.alias("start"), (n + 1).alias("end")))).otherwise(F.transform("lines", lambda n: F.struct(
         F.when(n > 0, F.get("breaks", n - 1)).otherwise(0).alias("start"), F.coalesce(F.get("breaks", n), F.size("kept")).alias("end"),
-    ))
+    )))
     none = F.array().cast("array<struct<start:int,end:int>>")
     inside = F.transform("runs", lambda r: F.struct(r.start.alias("start"), F.least(r.end, F.size("kept")).alias("end")))
     cut = _merged(F.array_sort(F.concat(F.coalesce(inside, none), F.coalesce(_joined(whole), none))))
@@ -198,11 +202,13 @@ def cut_repeats(
     starts = F.concat(F.transform("cut", lambda r: r.start), F.array(F.size("kept")))
     left = F.zip_with(ends, starts, lambda a, b: F.array_join(F.slice("kept", a + 1, F.greatest(b - a, F.lit(0))), ""))
     text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(left, ""))
+    lost = F.array_join(F.transform("cut", lambda r: F.array_join(F.slice("kept", r.start + 1, r.end - r.start), "")), "")
+    rows = rows.withColumn("words", F.when(by_line, F.size(_words(lost))).otherwise(F.coalesce("gone", F.lit(0))))
     names = [c for c in docs.columns if c.lower() != report.lower()]
     return rows.select(
         *(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names),
         F.struct(
-            F.coalesce("gone", F.lit(0)).cast("long").alias("removed"), F.coalesce((F.col("gone") > 0) & (F.col("gone") >= F.size("kept")), F.lit(False)).alias("emptied")
+            F.col("words").cast("long").alias("removed"), F.coalesce((F.col("gone") > 0) & (F.col("gone") >= F.size("kept")), F.lit(False)).alias("emptied")
         ).alias(report),
     )
 

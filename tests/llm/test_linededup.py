@@ -1,7 +1,10 @@
 import random
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from midbase.llm import common
 from midbase.llm import linededup as L
 
 from .conftest import prose
@@ -179,3 +182,24 @@ def test_columns_of_any_name_and_ids_of_any_type(spark):
 def test_sizes_that_leave_gaps_are_refused(spark, make_docs):
     with pytest.raises(ValueError):
         L.cut_repeats(make_docs([(1, "a")]), line=12, window=16)
+
+
+def test_a_window_is_cut_out_and_searched_once(spark, make_docs):
+    own = make_docs([(1, "a b")]).select(F.col("doc_id").alias("__key"), "text")
+    plan = L.fingerprints(own)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min(") == 1
+
+
+def test_hashes_are_written_without_dictionaries(spark, make_docs, tmp_path):
+    common.write(make_docs([(1, "a")]).select("doc_id"), f"{tmp_path}/t", dictionary=False)
+    columns = [pq.ParquetFile(f).metadata.row_group(0).column(0) for f in tmp_path.glob("t/*.parquet") if pq.ParquetFile(f).metadata.num_rows]
+    assert columns and not any(c.has_dictionary_page for c in columns)
+
+
+def test_white_space_stays_with_the_lines_that_stay(spark, make_docs):
+    rows = [(1, "one two\nthree\n"), (2, " \n\tone  two \n\n  keep this \r\n\x0b\nthree\n\n last\t"), (3, "three\n\none two"), (4, "x\nthree \n"), (5, "three\n y z")]
+    cut = L.cut_repeats(make_docs(rows))
+    got = {r.doc_id: (r.text, r["__cut"].removed, r["__cut"].emptied) for r in cut.collect()}
+    assert got == {
+        1: (rows[0][1], 0, False), 2: ("one  two \n\n  keep this \r\n\x0b\nlast\t", 1, False), 3: ("", 3, True), 4: ("x\n", 1, False), 5: ("y z", 1, False),
+    }
