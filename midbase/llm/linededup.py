@@ -37,6 +37,7 @@ LINE, WINDOW = 16, 32  # words a line (a power of two), lines a window
 LEAST = LINE + WINDOW - 1
 TINY = 1 << 14  # bytes of a side that is joined to whole texts by broadcast; it grows with the texts, so beyond that both are shuffled
 _SEEN = 8  # neighbours that tell most windows apart in which the smallest line stays the same
+_POSITIONS = 1 << 31  # more than a text has words
 _BLANK = " \t\n\x0b\f\r"  # white space of the regular expressions below
 
 
@@ -88,10 +89,31 @@ def fingerprints(own: DataFrame, line: int = LINE, window: int = WINDOW) -> Data
     return rows.select("__key", "i", "p", "fp", F.xxhash64("o", "x").alias("c"), F.hash("x").alias("d"))
 
 
-def later(found: DataFrame, on: list[str]) -> DataFrame:
+def small_keys(own: DataFrame, window: int = WINDOW) -> bool:
+    """Whether the keys of own (__key, ..) are so small that a key, a position and a step of a window fit one long."""
+    low, high = own.agg(F.min("__key"), F.max("__key")).first()
+    return low is None or max(-low, high) < _POSITIONS * 2 // window
+
+
+def firsts(found: DataFrame, on: list[str], small: bool, window: int = 1) -> DataFrame:
+    """(on, at {__key, p, i}, n): of the rows of found (on, __key, p, i) equal in `on` the first place and the number; i is from p - window + 1 to p.
+
+    Structs are aggregated by sorting, longs by hashing, which is faster; so where the keys are small a place is one long."""
+    if not small:
+        return found.groupBy(*on).agg(F.min(F.struct("__key", "p", "i")).alias("at"), F.count(F.lit(1)).alias("n"))
+    place = (F.col("__key") * _POSITIONS + F.col("p")) * window + (F.col("i") - F.col("p") + (window - 1))
+    rows = found.groupBy(*on).agg(F.min(place).alias("x"), F.count(F.lit(1)).alias("n"))
+    floor = lambda x, by: F.call_function("div", x - F.pmod(x, F.lit(by).cast("long")), F.lit(by).cast("long"))
+    text = floor(F.col("x"), window)
+    p = F.pmod(text, F.lit(_POSITIONS)).cast("int")
+    i = p + F.pmod(F.col("x"), F.lit(window).cast("long")).cast("int") - (window - 1)
+    return rows.select(*on, F.struct(floor(text, _POSITIONS).alias("__key"), p.alias("p"), i.alias("i")).alias("at"), "n")
+
+
+def later(found: DataFrame, on: list[str], small: bool) -> DataFrame:
     """(__key, pos) of the rows of the staged table found (on, __key, pos) but the first of those equal in `on`."""
-    first = found.groupBy(*on).agg(F.min(F.struct("__key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = common.staged(first.select(*on, F.col("first.__key").alias("src"), F.col("first.pos").alias("at")), "first", dictionary=False)
+    first = firsts(found.select(*on, "__key", F.col("pos").alias("p"), F.col("pos").alias("i")), on, small).filter("n > 1")
+    first = common.staged(first.select(*on, F.col("at.__key").alias("src"), F.col("at.p").alias("at")), "first", dictionary=False)
     return found.join(first.hint("merge"), on).filter("__key <> src or pos <> at").select("__key", "pos")
 
 
@@ -110,14 +132,14 @@ def runs_at(own: DataFrame, places: DataFrame, line: int, window: int) -> DataFr
 
 def repeats(own: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
     """(__key, runs): for texts (__key, text) the words that lie in runs of line + window - 1 words that an earlier place has too."""
-    least = line + window - 1
+    least, small = line + window - 1, small_keys(own, window)
     found = common.staged(fingerprints(own, line, window), "fingerprints", dictionary=False)
     # staged, so that the join below has plain exchanges on both sides and a hot fingerprint can be split
     often = common.staged(found.groupBy("fp").count().filter("count > 1").select("fp"), "often", dictionary=False)
     near = common.staged(found.join(often.hint("merge"), "fp"), "near", dictionary=False)
     common.release(found, often)
     same = ["fp", "c", "d"]
-    first = common.staged(near.groupBy(*same).agg(F.min(F.struct("__key", "p", "i")).alias("at"), F.count(F.lit(1)).alias("n")), "contexts", dictionary=False)
+    first = common.staged(firsts(near, same, small, window), "contexts", dictionary=False)
     again = near.join(first.filter("n > 1").hint("merge"), same).filter("__key <> at.__key or p <> at.p")
     again = again.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct(F.greatest(F.col("p") - window + 1, F.lit(0)).alias("start"), (F.col("p") + least).alias("end")))).alias("runs"))
     again = common.staged(again.select("__key", _joined(F.col("runs")).alias("runs")), "again")
@@ -127,7 +149,7 @@ def repeats(own: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame
     open_ = common.staged(open_.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("i", "p"))).alias("at")), "open")
     common.release(first, differ)
     judged = common.staged(runs_at(own, open_, line, window), "runs", dictionary=False)
-    rows = later(judged, ["w", "v"]).groupBy("__key").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    rows = later(judged, ["w", "v"], small).groupBy("__key").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     rows = rows.select("__key", _joined(F.transform("at", lambda p: F.struct(p.alias("start"), (p + least).alias("end")))).alias("more"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     both = rows.join(again, "__key", "full").select("__key", _merged(F.array_sort(F.concat(F.coalesce("runs", none), F.coalesce("more", none)))).alias("runs"))
@@ -163,7 +185,7 @@ def repeated_lines(own: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = own.select("__key", F.posexplode(lines).alias("pos", "l"))
     found = common.staged(rows.select(F.xxhash64("l").alias("h"), F.hash("l").alias("g"), "__key", "pos"), "lines", dictionary=False)
-    out = later(found, ["h", "g"]).groupBy("__key").agg(F.sort_array(F.collect_list("pos")).alias("lines"))
+    out = later(found, ["h", "g"], small_keys(own)).groupBy("__key").agg(F.sort_array(F.collect_list("pos")).alias("lines"))
     out = common.staged(out, "later-lines")
     common.release(found)
     return out

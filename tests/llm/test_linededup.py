@@ -203,3 +203,23 @@ def test_white_space_stays_with_the_lines_that_stay(spark, make_docs):
     assert got == {
         1: (rows[0][1], 0, False), 2: ("one  two \n\n  keep this \r\n\x0b\nlast\t", 1, False), 3: ("", 3, True), 4: ("x\n", 1, False), 5: ("y z", 1, False),
     }
+
+
+def test_first_places_are_found_by_hashing(spark):
+    """Where keys are small, also negative ones, a place is one long; the result is that of structs, which are sorted."""
+    rng = random.Random(19)
+    keys = [-(2**27) + 1, -1, 0, 7, 2**27 - 1]
+    rows = [(rng.randrange(4), rng.choice(keys), p := rng.randrange(32, 2**31), p - rng.randrange(32)) for _ in range(300)]
+    rows += [(9, -3, 40, 40 - j) for j in (3, 9, 0)]
+    found = spark.createDataFrame(rows, "a int, __key long, p int, i int")
+    assert L.small_keys(found) and not L.small_keys(found.withColumn("__key", -F.lit(2**27).cast("long")))
+    fast = L.firsts(found, ["a"], True, L.WINDOW)
+    assert sorted(fast.collect()) == sorted(L.firsts(found, ["a"], False, L.WINDOW).collect())
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_ids_too_large_for_one_long(spark, make_docs):
+    _, _, rows = planted()
+    rows = [(2**62 + i, t + "\nthe end of it\n") for i, t in rows]
+    check_exact(L.cut_repeats(make_docs(rows)), rows)
