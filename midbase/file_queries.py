@@ -5,8 +5,6 @@ Files are written from the driver's tables to a folder that all executors share,
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,7 +15,7 @@ from pyspark.sql.window import Window
 from . import CallOptions
 from . import queries as base
 from .functions import dna
-from .operators import alignment, calls, discover, kmers, population, regions
+from .operators import alignment, calls, discover, kmers, population, regions, staging
 from .plans import workflows
 from .plans.count import call_contigs
 from .sources import alignments, sequences, tables, vcf
@@ -27,12 +25,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share: below spark.checkpoint.dir, or on one machine among its temporary files."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    top = staging.shared_folder(spark)
     if not top:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = os.path.join(tempfile.gettempdir(), "midbase-files")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
 def files(spark: SparkSession, path: str) -> list[str]:

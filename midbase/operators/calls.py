@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..options import CallOptions
 
+ANCHOR_BYTES = 96  # of a site's flanks, strand and anchor in a broadcast
+
 
 def hits(occ: DataFrame, snp: DataFrame) -> DataFrame:
-    """Occurrences of SNP-mers with their two centres (the optimiser broadcasts snp where it is small)."""
-    return occ.join(snp.select("flanks", "c_lo", "c_hi"), "flanks")
+    """Occurrences of SNP-mers with their two centres. snp is broadcast if it is marked so, see staging; otherwise both are shuffled."""
+    return occ.hint("merge").join(snp.select("flanks", "c_lo", "c_hi"), "flanks")
 
 
 def allele_counts(found: DataFrame, saturate: bool = False) -> DataFrame:
@@ -100,20 +102,19 @@ def statistics(cell: Column) -> dict[str, Column]:
 
 def positions(found: DataFrame, site: DataFrame, ref_idx: int, contigs: DataFrame, by_name: bool = False) -> DataFrame:
     """(flanks, genome_idx, contig_idx, pos, contig, strand) of all hits but the reference's anchor; the strand is
-    relative to the anchor's. Long form: positions of repeats are gathered at the sink only.
+    relative to the anchor's. Long form: positions of repeats are gathered at the sink only. site is broadcast if it is marked so.
 
     by_name: left out are instead the first hits of all genomes on contigs called like one that holds an anchor.
     """
     rows = found.select("flanks", "genome_idx", "contig_idx", "pos", F.col("fwd").alias("own"))
-    rows = rows.join(site.select("flanks", "fwd", "anchor"), "flanks")
+    rows = rows.hint("merge").join(site.select("flanks", "fwd", "anchor"), "flanks")
     names = contigs.select("genome_idx", "contig_idx", "contig").distinct()
     strand = F.when(F.col("own") == F.col("fwd"), "+").otherwise("-").alias("strand")
     if by_name:
-        rows = rows.join(names, ["genome_idx", "contig_idx"])
         anchored = names.filter(F.col("genome_idx") == ref_idx).join(site.select(F.col("anchor.contig_idx").alias("contig_idx")).distinct(), "contig_idx", "left_semi")
         anchored = anchored.select("contig", F.lit(True).alias("known")).distinct()
         first = found.groupBy("flanks", "genome_idx").agg(F.min(F.struct("contig_idx", "pos")).alias("first"))
-        rows = rows.join(anchored, "contig", "left").join(first, ["flanks", "genome_idx"])
+        rows = rows.join(names.join(anchored, "contig", "left"), ["genome_idx", "contig_idx"]).join(first, ["flanks", "genome_idx"])
         leads = (F.col("contig_idx") == F.col("first.contig_idx")) & (F.col("pos") == F.col("first.pos"))
         return rows.filter(~(leads & F.col("known").isNotNull())).select("flanks", "genome_idx", "contig_idx", "pos", "contig", strand)
     is_anchor = (F.col("genome_idx") == ref_idx) & (F.col("contig_idx") == F.col("anchor.contig_idx")) & (F.col("pos") == F.col("anchor.pos"))

@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from ..operators import calls, discover, kmers, regions
+from ..operators import calls, discover, kmers, regions, staging
 from ..options import CallOptions, check_genomes
 from ..sources import sequences, tables, vcf
 
 
 @dataclass
 class Result:
-    """contigs, occurrences, SNP-mers, sites (with cells of all genomes) and, if asked for, hit positions."""
+    """contigs, occurrences, SNP-mers, sites (with cells of all genomes) and, if asked for, hit positions. clear() deletes the staged
+    SNP-mers, which all the others but contigs and occurrences are made of."""
 
     contigs: DataFrame
     occurrences: DataFrame
@@ -26,6 +27,10 @@ class Result:
     positions: DataFrame | None
     n_genomes: int
     options: CallOptions
+    held: staging.Held
+
+    def clear(self) -> None:
+        self.held.clear()
 
     def genotypes(self) -> DataFrame:
         return calls.genotypes(self.sites, self.n_genomes)
@@ -46,7 +51,7 @@ def call_contigs(
     """Call SNP-mers of contigs (genome_idx, contig_idx, contig, seq), within the regions of `bed` if given.
 
     K-mers are encoded twice, once without places for discovery and once with them for the joins to the SNP-mers: reading
-    is cheaper than keeping every occurrence. Regions are cut out of the contigs before that. tiled: cut contigs into pieces first, for long
+    is cheaper than keeping every occurrence. SNP-mers are staged, so that they are found once and broadcast only if they are few. Regions are cut out of the contigs before that. tiled: cut contigs into pieces first, for long
     ones.
     """
     options = options or CallOptions()
@@ -56,10 +61,13 @@ def call_contigs(
     pieces = kmers.tiles(pieces, options.k, options.tile) if tiled else pieces
     full = kmers.occurrences(pieces, options.k)
     slim = kmers.occurrences(pieces, options.k, places=False)
-    snp = discover.snpmers(slim, n_genomes, options)
+    held = staging.hold(discover.snpmers(slim, n_genomes, options), "snpmers")
+    snp = held.table
     sites = calls.call(full, contigs, snp, n_genomes, ref_idx, options)
-    positions = calls.positions(calls.hits(full, snp), sites, ref_idx, contigs, options.kpos_by_name) if options.positions else None
-    return Result(contigs, full, snp, sites, positions, n_genomes, options)
+    positions = None
+    if options.positions:
+        positions = calls.positions(calls.hits(full, snp), held.per_row(sites, calls.ANCHOR_BYTES), ref_idx, contigs, options.kpos_by_name)
+    return Result(contigs, full, snp, sites, positions, n_genomes, options, held)
 
 
 def count(

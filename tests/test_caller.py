@@ -2,9 +2,10 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from midbase import CallOptions
-from midbase.operators import discover, kmers
+from midbase.operators import calls, discover, kmers, staging
 from midbase.plans.count import call_contigs, count
 
 
@@ -156,3 +157,33 @@ def test_refusals(spark, tmp_path):
     (tmp_path / "b.fa").write_text(">a\nA\n")
     with pytest.raises(ValueError, match="BED"):
         count(spark, [f"{tmp_path}/a.fa", f"{tmp_path}/b.fa"], bed_list=f"{tmp_path}/beds")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kmers_are_never_broadcast(spark):
+    """Occurrences look small to the optimiser, as the text that they come from is; what stands beside them may look larger."""
+    df = contigs(spark, random_genomes(random.Random(4), 4))
+    occ = kmers.occurrences(df, 7)
+    many = spark.range(10**7).selectExpr("id as flanks", "0 as c_lo", "1 as c_hi")
+    assert "BroadcastExchange" not in plan_of(calls.hits(occ, many))
+    few = staging.hold(many.limit(10), "few")
+    assert few.rows == 10 and "BuildRight" in plan_of(calls.hits(occ, few.table))
+    found = call_contigs(df, 4, 0, CallOptions(k=7, min_freq=0.0, filt_type=0, positions=True))
+    assert found.held.rows == found.snpmers.count() > 0
+    for own in (found.sites, found.positions, calls.allele_counts(calls.hits(found.occurrences, found.snpmers)), found.lines()):
+        assert "BuildLeft" not in plan_of(own)
+    places = sorted(map(tuple, found.positions.collect()))
+    merged = calls.positions(calls.hits(occ, spark.createDataFrame(found.snpmers.collect()).hint("merge")), found.sites.hint("merge"), 0, df)
+    assert sorted(map(tuple, merged.collect())) == places and places and "BuildLeft" not in plan_of(merged)
+    found.clear()
+
+
+def test_names_of_anchored_contigs(spark):
+    """By name, the first hit of every genome on a contig called like an anchor's is left out, as is the anchor."""
+    df = contigs(spark, [["AACGG", "TTTTT"], ["AATGG", "AATGGNAATGG"], ["TTTTT", "AACGG"]])
+    own = {n: call_contigs(df.withColumn("contig", F.expr(f"concat('v', contig_idx % {n})")), 3, 0, CallOptions(k=5, min_freq=0.5, filt_type=0, positions=True, kpos_by_name=True)) for n in (1, 2)}
+    places = {n: sorted((r.genome_idx, r.contig_idx, r.pos) for r in x.positions.collect()) for n, x in own.items()}
+    assert places == {1: [(1, 1, 2), (1, 1, 8)], 2: [(1, 1, 2), (1, 1, 8), (2, 1, 2)]}
