@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dna
+from . import staging
 
 
 def exact_hits(mers: DataFrame, occ: DataFrame, k: int, most: int = 50) -> DataFrame:
     """(mer, genome_idx, contig_idx, pos, strand): where each mer of k bases stands, at most `most` places each (a
-    report limit), the first in genome, contig and position order. Mers with palindromic flanks have no hits."""
+    report limit), the first in genome, contig and position order. Mers with palindromic flanks have no hits. The mers are staged, and
+    broadcast if they are few."""
     half = k // 2
     flank = lambda c: F.concat(F.substring(c, 1, half), F.substring(c, half + 2, half))
     rows = mers.select("mer").distinct().withColumn("rc", dna.reverse_complement(F.col("mer")))
@@ -22,7 +24,7 @@ def exact_hits(mers: DataFrame, occ: DataFrame, k: int, most: int = 50) -> DataF
         lambda a, b: F.when(b == "", a).otherwise(a * 4 + F.instr(F.lit("ACGT"), b).cast("long") - 1),
     )
     rows = rows.select("mer", "own", packed.alias("flanks"), (F.instr(F.lit("ACGT"), F.substring("y", half + 1, 1)) - 1).alias("center"))
-    found = names.join(rows, ["flanks", "center"])
+    found = names.hint("merge").join(staging.hold(rows, "mers").table, ["flanks", "center"])
     found = found.select("mer", "genome_idx", "contig_idx", "pos", F.when(F.col("fwd") == F.col("own"), "+").otherwise("-").alias("strand"))
     rank = F.row_number().over(Window.partitionBy("mer").orderBy("genome_idx", "contig_idx", "pos"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")

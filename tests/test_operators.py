@@ -219,6 +219,14 @@ def test_exact_hits(spark):
     assert search.exact_hits(mers, kmers.occurrences(contigs, 5), 5, most=1).count() == 2
 
 
+def test_exact_hits_never_broadcast_kmers(spark):
+    contigs = spark.createDataFrame([(0, 0, "c", "AACGGTTCCGTTA")], "genome_idx int, contig_idx long, contig string, seq string")
+    many = spark.range(10**6).selectExpr("if(id = 5, 'AACGG', concat('AA', id)) as mer").filter("length(mer) = 5")
+    found = search.exact_hits(many, kmers.occurrences(contigs, 5), 5)
+    assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [("AACGG", 0, 0, 2, "+"), ("AACGG", 0, 0, 9, "-")]
+
+
 def test_contigs_as_a_stream(spark, tmp_path):
     from midbase.streaming import contigs as stream
 
