@@ -115,8 +115,8 @@ def depth_by_contig(kc: DataFrame) -> DataFrame:
 
 
 def wide(rows: DataFrame, key: str, column: str, value: str) -> DataFrame:
-    """One column per value of `column`."""
-    return rows.groupBy(key).pivot(column).agg(F.first(value))
+    """One column per value of `column`; the largest where a key has several, so that every run gives the same."""
+    return rows.groupBy(key).pivot(column).agg(F.max(value))
 
 
 MOST_SAMPLES = 5_000

@@ -190,6 +190,17 @@ def test_sample_tables(spark, tmp_path):
     assert [r.c for r in names.orderBy(*population.chromosome_order(F.col("c"))).collect()] == ["chr2", "chr10", "2b", "chrX"]
 
 
+def test_repeated_samples(spark):
+    """Ids that become the same share the largest of their values, in whatever order these come."""
+    meta = spark.createDataFrame([("HG_4pri_x", "a"), ("40", "b")], "sample_id string, individual string")
+    values = [("40", "chr0", float(x)) for x in (7, 40, 4)]
+    for own in (values, values[::-1]):
+        depths = spark.createDataFrame(own, "sample string, chrom string, depth double").coalesce(1)
+        clusters = depths.selectExpr("sample", "'chr0_tree' as kind", "cast(depth as int) as cluster")
+        rows = workflows.sample_table(meta, depths, clusters).collect()
+        assert sorted((r.sample_id, r.individual, r.chr0, r.chr0_tree) for r in rows) == [("40", "a", 40.0, 40), ("40", "b", 40.0, 40)]
+
+
 def test_vcf_round_trip_and_workflows(spark, tmp_path):
     body = ["##x", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\tr", "c\t3\t.\tC\tT\t.\t.\tAC=1;SNPMER=AACGG;KPOS=q\tGT:KC\t0:1,0\t1:0,2\t0:1,0", ".\t0\t.\tA\tG\t.\t.\tAC=1\tKC:GT\t3,4:.\t0,0:.\t1,0:0"]
     with gzip.open(tmp_path / "v.vcf.gz", "wt") as f:
