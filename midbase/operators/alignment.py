@@ -6,12 +6,15 @@ texts (0, 1, 0/1, . and so on) with a place for every sample. All tests on a loc
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: IUPAC codes of base sets.
 IUPAC = {
@@ -63,21 +66,63 @@ def loci(rows: DataFrame, min_samples: int = 4) -> DataFrame:
     return rows.filter(single_bases(F.col("ref"), F.col("alt")) & enough)
 
 
+def letter(alleles: set[str | None]) -> str | None:
+    """What `iupac` gives for a set of alleles; None stands for an allele that the locus lacks."""
+    known = alleles - {None}
+    joined = "".join(sorted(known))
+    bases = "".join(b for b in joined if b in "ACGT")
+    if joined == "ACGNT" or any(b not in ("A", "C", "G", "T", "N", "*") for b in known):
+        return None
+    if bases == "ACGT":
+        return "N"
+    if bases:
+        return IUPAC[bases].lower() if known & {"*", "N"} else IUPAC[bases]
+    return {"*": "-", "N": "N", "*N": "n"}.get(joined)
+
+
+def choices(ref: str | None, alt: str | None, gt: str | None, resolve: bool) -> list[str | None]:
+    """The code of a genotype, or with resolve that of each of its alleles."""
+    if gt is None or gt.startswith("."):
+        return ["N"]
+    nuc = [] if alt is None else [x and x.replace("-", "*") for x in (ref, *alt.split(","))]
+    number = lambda g: int(g) if re.fullmatch("[0-9]{1,3}", g) else len(nuc)
+    picks = ["N" if g == "." else nuc[number(g)] if number(g) < len(nuc) else None for g in re.split("[/|]", gt)]
+    return [letter({x}) for x in picks] if resolve else [letter(set(picks))]
+
+
 def bases(rows: DataFrame, resolve: bool = False) -> DataFrame:
     """Loci plus `bases`, a code per sample. Loci with an allele that has no code are left out whole. resolve: one allele of each
-    heterozygote, chosen by a hash of locus and sample, so every run gives the same."""
-    nuc = F.concat(F.array(F.translate("ref", "-", "*")), F.transform(F.split("alt", ","), lambda a: F.translate(a, "-", "*")))
-    rows = rows.withColumn("__nuc", nuc)
-
-    def code(gt: Column, i: Column) -> Column:
-        number = lambda g: F.try_to_number(g, F.lit("999")).cast("int")
-        picks = F.transform(F.split(gt, r"[/|]"), lambda g: F.when(g == ".", "N").otherwise(F.get("__nuc", number(g))))
-        if resolve:
-            picks = F.slice(picks, F.pmod(F.xxhash64("snp_no", i), F.size(picks)).cast("int") + 1, F.lit(1))
-        return F.when(called(gt), iupac(F.array_sort(F.array_distinct(picks)))).otherwise("N")
-
-    rows = rows.withColumn("bases", F.transform("gts", code)).drop("__nuc")
-    return rows.filter(F.forall("bases", lambda b: b.isNotNull()))
+    heterozygote, chosen by a hash of locus and sample, so every run gives the same.
+
+    Codes are made once for each combination of alleles and genotype in an Arrow batch and taken from there for its cells.
+    """
+    own = rows.drop("bases")
+    names = own.columns
+    pick = [F.transform("gts", lambda _, i: F.xxhash64("snp_no", i)).alias("__pick")] if resolve else []
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gts = batch.column("gts")
+            size = pc.fill_null(pc.list_value_length(gts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cells = [batch.column(c).dictionary_encode() for c in ("ref", "alt")] + [gts.flatten().dictionary_encode()]
+            at = [pc.fill_null(c.indices, len(c.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64) for c in cells]
+            values = [[*c.dictionary.to_pylist(), None] for c in cells]
+            row = np.repeat(np.arange(batch.num_rows), size)
+            pair, cell = at[0] * len(values[1]) + at[1], len(values[2])
+            found, which = np.unique(pair[row] * cell + at[2], return_inverse=True)
+            parts = [choices(values[0][p // len(values[1])], values[1][p % len(values[1])], values[2][g], resolve) for p, g in zip((found // cell).tolist(), (found % cell).tolist())]
+            many = np.array([len(x) for x in parts], np.int64)
+            place = (np.cumsum(many) - many)[which]
+            if resolve:
+                place += np.mod(batch.column("__pick").flatten().to_numpy(zero_copy_only=False), many[which])
+            codes = pa.array([x for part in parts for x in part], pa.string()).take(pa.array(place))
+            whole = pc.is_valid(gts).to_numpy(zero_copy_only=False)
+            whole[row[pc.is_null(codes).to_numpy(zero_copy_only=False)]] = False
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), codes)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], names=[*names, "bases"]).filter(pa.array(whole))
+
+    kind = StructType([*own.schema.fields, StructField("bases", ArrayType(StringType()))])
+    return own.select("*", *pick).mapInArrow(coded, kind)
 
 
 def variable(rows: DataFrame) -> DataFrame:

@@ -139,6 +139,21 @@ def test_ambiguity_codes(spark, alleles, code):
     assert column(spark, [list(alleles)], alignment.iupac, "array<string>") == [code]
 
 
+def test_codes_are_made_once_a_combination(spark):
+    """Genotypes of any kind, with the code of each set of alleles as `iupac` has it; no expression is evaluated for every cell again."""
+    import itertools
+
+    sets = [list(x) for n in range(1, 5) for x in itertools.combinations(["*", "A", "C", "CC", "G", "N", "T"], n)]
+    assert column(spark, sets, alignment.iupac, "array<string>") == [alignment.letter(set(x)) for x in sets]
+    rows = [(1, "A", "C,-", ["0/1", "1|2", "0/7", "./1", None, "0/."]), (2, "A", "C", ["0/"]), (3, "A", "C", ["7"]), (4, "A", None, ["./."]), (5, "A", "C", []), (6, "A", "C", None)]
+    df = spark.createDataFrame(rows, "snp_no int, ref string, alt string, gts array<string>")
+    found = alignment.bases(df)
+    assert {r.snp_no: r.bases for r in found.collect()} == {1: ["M", "c", "A", "N", "N", "a"], 2: ["A"], 4: ["N"], 5: []}
+    assert {r.snp_no: len(r.bases) for r in alignment.bases(df, resolve=True).filter("snp_no > 2").collect()} == {4: 1, 5: 0}
+    plan = alignment.bases(df, resolve=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "array_sort" not in plan
+
+
 def test_alignment_files(spark):
     seqs = spark.createDataFrame([("b", "AC"), ("long", "GT"), ("a", "NN")], "sample string, seq string")
     text = lambda *a, **k: [r.line for r in alignments.render(seqs, *a, **k).orderBy("n", "sample").collect()]
