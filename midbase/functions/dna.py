@@ -56,8 +56,17 @@ def short_float(number: Column) -> Column:
     return F.pandas_udf(_short, StringType())(number)
 
 
+#: ASCII letters as ACGT by their place in the alphabet, all other bytes as N, and these others.
+_OF_TEXT = bytes(b"ACGT"[((c | 32) - 97) % 4] if chr(c) in LETTERS + LETTERS.upper() else 78 for c in range(256))
+_NO_LETTERS = bytes(c for c in range(256) if chr(c) not in LETTERS + LETTERS.upper())
+
+
 def from_text(text: Column, keep_gaps: bool = False) -> Column:
     """A DNA-like sequence from prose: letters become ACGT by their place in the alphabet; all else goes, or
-    becomes N with keep_gaps."""
-    letters = F.translate(F.lower(text), LETTERS, ("ACGT" * 7)[:26])
-    return F.regexp_replace(letters, "[^ACGT]", "N" if keep_gaps else "")
+    becomes N with keep_gaps. Done on bytes, which costs a fraction of a regular expression."""
+    table, without = _OF_TEXT, b"" if keep_gaps else _NO_LETTERS
+
+    def made(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else t.lower().encode("ascii", "replace").translate(table, without).decode())
+
+    return F.pandas_udf(made, StringType())(text)

@@ -104,6 +104,8 @@ def occurrences(contigs: DataFrame, k: int, places: bool = True) -> DataFrame:
             held: list[tuple[np.ndarray, ...]] = []
             rows = 0
             for g, c, at, seq in zip(*(batch.column(x) for x in ("genome_idx", "contig_idx", "start", "seq"))):
+                if not seq.is_valid:
+                    continue
                 found, flanks, center, fwd = encode(seq.as_py().encode(), k)
                 if len(found):
                     own = {"pos": found + (at.as_py() + k // 2), "flanks": flanks, "center": center.astype(np.int32), "fwd": fwd}
@@ -118,9 +120,9 @@ def occurrences(contigs: DataFrame, k: int, places: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=names)
 
     kinds = dict(x.split() for x in OCCURRENCES.split(", "))
-    fit = contigs.filter(F.length("seq") >= k)
-    fit = fit.select(F.col("genome_idx").cast("int"), F.col("contig_idx").cast("long"), start.cast("long").alias("start"), "seq")
-    return fit.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+    # contigs that are too short are left out above: a filter here would make seq a second time where it is an expression
+    own = contigs.select(F.col("genome_idx").cast("int"), F.col("contig_idx").cast("long"), start.cast("long").alias("start"), "seq")
+    return own.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 def occurrences_native(contigs: DataFrame, k: int) -> DataFrame:

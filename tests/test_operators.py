@@ -22,6 +22,17 @@ def test_text_forms(spark):
     assert column(spark, ["AACGN"], dna.reverse_complement) == ["NCGTT"]
 
 
+def test_sequences_of_text(spark):
+    """As lower, translate and a regular expression give them, for letters of any alphabet too; made once where k-mers are encoded."""
+    texts = ["Hello, World_9!", "", None, "\u212a\u0130\u00df\u1e9e \U0001f600x\ud55c\u0301", "az\x00\x7fAZ[`{@", "\u03a3\u03c2"]
+    for keep in (True, False):
+        plain = lambda c: F.regexp_replace(F.translate(F.lower(c), dna.LETTERS, ("ACGT" * 7)[:26]), "[^ACGT]", "N" if keep else "")  # noqa: B023, E731
+        assert column(spark, texts, lambda c: dna.from_text(c, keep)) == column(spark, texts, plain)  # noqa: B023
+    rows = spark.createDataFrame([(0, 0, "some text and more"), (0, 1, None), (1, 0, "ab")], "genome_idx int, contig_idx long, text string")
+    found = kmers.occurrences(rows.select("genome_idx", "contig_idx", dna.from_text(F.col("text")).alias("seq")), 5)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and found.count() > 5
+
+
 def test_fasta_and_fastq(spark, tmp_path):
     lines = ["junk\n", ">a b c\n", "AC\n", "\n", "GT\r\n", "@q x\n", "ACG\n", "+\n", ">>>\n", ">z\n", "T\n", "@cut\n", "ACGT\n", "+\n", "II\n"]
     assert list(sequences.records(iter(lines))) == [("a", "ACGT"), ("q", "ACG"), ("z", "T")]
