@@ -106,9 +106,50 @@ def read_fasta(spark: SparkSession, paths: str | list[str], genome_idx: list[int
     return rows.mapInArrow(parse, CONTIGS)
 
 
+class Place:
+    """Where FASTQ reading stands, by lengths of lines alone: what `records` does, a line at a time. number: of the current record, or the next."""
+
+    def __init__(self, named: bool = False, quality: bool = False, want: int = 0, got: int = 0, number: int = 0, over: bool = False):
+        self.named, self.quality, self.want, self.got, self.number, self.over = named, quality, want, got, number, over
+
+    def now(self) -> tuple:
+        return self.named, self.quality, self.want, self.got, self.number, self.over
+
+    def feed(self, mark: str, whole: int, bare: int) -> str:
+        """mark: the line's first character; whole and bare: its length, and that without white space at its ends. What it is: a header (>),
+        bases (A), the line before qualities (+) or none of these."""
+        if self.over:
+            return ""
+        if self.quality:
+            self.got += whole
+            if self.got > self.want:
+                self.over = True
+            elif self.got == self.want:
+                self.named, self.quality, self.number = False, False, self.number + 1
+            return ""
+        if mark in (">", "@"):
+            self.number += self.named
+            self.named, self.want = True, 0
+            return ">"
+        if mark == "+" and self.named:
+            self.got, self.quality = 0, self.want > 0
+            if not self.want:
+                self.named, self.number = False, self.number + 1
+            return "+"
+        if self.named:
+            self.want += bare
+            return "A"
+        return ""
+
+
 def read_fastq(spark: SparkSession, path: str, genome_idx: int = 0) -> DataFrame:
-    """Records of a FASTQ file (FASTA records among them included), read line by line in file order: qualities may hold any
-    mark, so only the order of lines tells records apart. One task a file, which holds one record at a time."""
+    """Records of a FASTQ file (FASTA records among them included). Qualities may hold any mark, so only the order of lines tells records
+    apart: of a plain file of several splits, one task first reads the lengths and first characters of all lines, by which it finds where
+    each split stands; then splits are read apart, and only records that go over their borders are put together. Compressed files are one
+    task, which holds one record at a time."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    if lines.rdd.getNumPartitions() > 1:
+        return _split_fastq(lines, genome_idx)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = (line.as_py() + "\n" for batch in batches for line in batch.column("value"))
@@ -125,6 +166,93 @@ def read_fastq(spark: SparkSession, path: str, genome_idx: int = 0) -> DataFrame
     return spark.read.text(path).coalesce(1).mapInArrow(parse, CONTIGS)
 
 
+def _split_fastq(lines: DataFrame, genome_idx: int) -> DataFrame:
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, text = batch.column("block").to_pylist(), batch.column("value").to_pylist()
+            rows = []
+            for block, start, end in _runs(blocks):
+                own = [x.rstrip("\r\n") for x in text[start:end]]
+                marks = "".join(x[:1] if x[:1] in ("@", ">", "+") else "." for x in own)
+                rows.append((block, batch.column("n")[start].as_py(), marks, [len(x) for x in own], [len(x.strip()) for x in own]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
+
+    def stands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, known = Place(), []
+        for batch in batches:
+            for block, marks, whole, bare in zip(*(batch.column(c).to_pylist() for c in ("block", "marks", "whole", "bare"))):
+                if not known or known[-1][0] != block:
+                    known.append((block, *here.now()))
+                for x in zip(marks, whole, bare):
+                    here.feed(*x)
+        if here.quality:
+            warnings.warn("reading ends at a record that is cut short or has qualities of another length", stacklevel=2)
+        total = here.number + (here.named and not here.quality and not here.over)
+        known.append((-1, False, False, 0, 0, total, True))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*known)], names=["block", "named", "quality", "want", "got", "number", "over"])
+
+    names, kinds = ["block", "n", "marks", "whole", "bare"], [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    short = lines.mapInArrow(lengths, "block long, n long, marks string, whole array<int>, bare array<int>").repartition(1).sortWithinPartitions("block", "n")
+    found = short.mapInArrow(stands, "block long, named boolean, quality boolean, want long, got long, number long, over boolean").collect()  # a row a split
+    begin = {r[0]: tuple(r[1:]) for r in found}
+    total = begin.pop(-1)[4]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at, here, name, number, parts, size = None, Place(), None, 0, [], 0
+
+        def put(whole: bool) -> None:
+            nonlocal name, parts
+            if (name is not None or parts) and number < total:
+                held.append((number, at, name, "".join(parts), whole and name is not None))
+            name, parts = None, []
+
+        def made() -> pa.RecordBatch:
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*held)) or [()] * 5, types)], names=["n", "at", "name", "part", "whole"])
+
+        for batch in batches:
+            text = batch.column("value").to_pylist()
+            for block, start, end in _runs(batch.column("block").to_pylist()):
+                if block != at:
+                    put(False)
+                    if block not in begin:
+                        raise ValueError("the file is split in another way than when reading was set up; read it anew")
+                    at, here = block, Place(*begin[block])
+                    number = here.number
+                for line in text[start:end]:
+                    line = line.rstrip("\r\n")
+                    bare = line.strip()
+                    kind = here.feed(line[:1], len(line), len(bare))
+                    if kind == "A":
+                        parts.append(bare)
+                        size += len(bare)
+                    elif kind:
+                        put(True)
+                        if kind == ">":
+                            name, number = (re.split(r"\s", line[1:], maxsplit=1) or [""])[0], here.number
+                    if size > 8_000_000 and held:
+                        yield made()
+                        held, size = [], 0
+        put(False)
+        yield made()
+
+    rows = lines.mapInArrow(parse, "n long, at long, name string, part string, whole boolean")
+    parted = rows.filter(~F.col("whole")).groupBy("n").agg(F.max("name").alias("name"), F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    parted = parted.select("n", "name", F.array_join(F.transform("parts", lambda x: x.part), "").alias("part"))
+    own = [F.lit(genome_idx).cast("int").alias("genome_idx"), F.col("n").alias("contig_idx"), F.col("name").alias("contig"), F.col("part").alias("seq")]
+    return rows.filter("whole").select(*own).union(parted.select(*own))
+
+
+def _runs(values: list) -> Iterator[tuple[object, int, int]]:
+    """(value, start, end) of equal neighbours."""
+    start = 0
+    for i in range(1, len(values) + 1):
+        if i == len(values) or values[i] != values[start]:
+            yield values[start], start, i
+            start = i
+
+
 def _contigs(rows: list[tuple[int, int, str, str]]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * 4
     kinds = {"genome_idx": pa.int32(), "contig_idx": pa.int64(), "contig": pa.string(), "seq": pa.string()}

@@ -1,5 +1,6 @@
 import gzip
 import math
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,38 @@ def test_fasta_in_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_fastq_in_many_splits(spark, tmp_path):
+    """Read apart, a FASTQ file gives what `records` gives in one pass, whatever its qualities hold and wherever splits fall."""
+    import random
+
+    rng = random.Random(6)
+    for trial in range(6):
+        text = rng.choice(["", "junk\n+\n\n"])
+        for i in range(rng.randrange(40, 90)):
+            size = rng.choice([0, 1, 5, 70, 400])
+            seq, quality = ("".join(rng.choice(x) for _ in range(size)) for x in ("ACGTn", "@>+I! "))
+            cut = lambda s: "\n".join(s[k : k + 60] for k in range(0, len(s), 60)) + "\n"
+            wide = rng.random() < 0.5
+            quality = quality.replace(" ", "I") if size else ""
+            text += rng.choice([f"@r{i} x\n{cut(seq) if wide else seq + chr(10)}+\n{cut(quality) if wide else quality + chr(10)}", f">f{i}\n{cut(seq)}\n"])
+        text += ["", "@cut\nACGT\n+\nII", "@bad\nAC\n+\nIIII\n@after\nA\n+\nI\n", "@end\n", ">last\nAC\nGT", "\n\n"][trial]
+        (tmp_path / f"{trial}.fq").write_text(text)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            want = list(sequences.records(iter(text.splitlines(keepends=True))))
+        for split in (97, 1000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            try:
+                df = sequences.read_fastq(spark, f"{tmp_path}/{trial}.fq", 3)
+                assert df.rdd.getNumPartitions() > 3
+                got = sorted(map(tuple, df.collect()))
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+            assert got == [(3, i, *x) for i, x in enumerate(want)]
+
+
 def regions_frame(spark, rows):
     return spark.createDataFrame(rows, "genome_idx int, contig string, start long, end long")
 
